@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import substring
+from tessera.llm import mixing, quality, substring
 
-QUERIES = {"op3_substring_dedup": substring.op3_substring_dedup}
-ORACLE_SQL = {"op3_substring_dedup": substring.ORACLE_SQL}
+QUERIES = {
+    "op2_quality_rules": quality.op2_quality_rules,
+    "op3_substring_dedup": substring.op3_substring_dedup,
+    "op8_mixing": mixing.op8_mixing,
+}
+ORACLE_SQL = {
+    "op2_quality_rules": quality.ORACLE_SQL,
+    "op3_substring_dedup": substring.ORACLE_SQL,
+}
