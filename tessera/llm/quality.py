@@ -53,6 +53,12 @@ LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 
 
+def _same(other: str) -> str:
+    """Whether two packed windows (hash above, place in the low bits) are one sequence of three words."""
+    words = ["named_struct(" + ", ".join(f"'{k}', get(_words, cast({x} & (shiftleft(1L, _bits) - 1) as int) + {k})" for k in range(3)) + ")" for x in ("x", other)]
+    return f"(shiftright(x, _bits) = shiftright({other}, _bits) and {words[0]} = {words[1]})"
+
+
 def measures(text: str = "text") -> dict[str, str]:
     """Steps of SQL expressions, each over the columns of the steps before it."""
     stop = ", ".join(f"'{w}'" for w in sorted({x for w in STOP_WORDS for x in (w, w.capitalize())}))
@@ -60,8 +66,9 @@ def measures(text: str = "text") -> dict[str, str]:
         "_text": f"coalesce(`{text}`, '')",
         "_words": f"if(btrim(_text, '{WHITE}') = '', cast(array() as array<string>), split(btrim(_text, '{WHITE}'), '{SPLIT}'))".replace("\\x", "\\\\x"),
         "_lines": f"filter(split(_text, '\\n'), x -> btrim(x, '{WHITE}') <> '')",
-        "_windows": "if(size(_words) < 3, cast(array() as array<struct<h:bigint,i:int>>), sort_array(transform(sequence(0, size(_words) - 3), i -> struct(xxhash64(_words[i], _words[i + 1], _words[i + 2]) as h, i as i))))",
-        "_repeats": "sort_array(transform(filter(_windows, (x, j) -> (j > 0 and _windows[j - 1].h = x.h) or (j + 1 < size(_windows) and _windows[j + 1].h = x.h)), x -> x.i))",
+        "_bits": "length(bin(size(_words)))",
+        "_windows": "sort_array(transform(_words, (x, i) -> shiftleft(xxhash64(x, get(_words, i + 1), get(_words, i + 2)), _bits) | i))",
+        "_repeats": f"sort_array(transform(filter(_windows, (x, j) -> {_same('get(_windows, j - 1)')} or {_same('get(_windows, j + 1)')}), x -> cast(x & (shiftleft(1L, _bits) - 1) as int)))",
         "n_words": "cast(size(_words) as bigint)",
         "word_chars": "cast(length(array_join(_words, '')) as bigint)",
         "n_symbols": "cast(regexp_count(_text, '[#*$%&|<>]') as bigint)",
@@ -86,7 +93,7 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     """The input with one more column: a struct of all counts, base_failed and kept."""
     inner = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_in"))
     steps = measures("_in")
-    for group in (("_text",), ("_words", "_lines"), ("_windows",), ("_repeats",)):
+    for group in (("_text",), ("_words", "_lines"), ("_bits",), ("_windows",), ("_repeats",)):
         inner = inner.withColumns({k: F.expr(steps[k]) for k in group})
     counts = [k for k in steps if not k.startswith("_")]
     inner = inner.select("_row", *(F.expr(steps[k]).alias(k) for k in counts))
