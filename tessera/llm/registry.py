@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, pieces, quality, substring
+from tessera.llm import mainhtml, mixing, pieces, quality, substring
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_substring_dedup": substring.op3_substring_dedup,
     "op8_mixing": mixing.op8_mixing,
+    "op9_html_extraction": mainhtml.op9_html_extraction,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 ORACLE_SQL = {
