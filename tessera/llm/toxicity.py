@@ -33,11 +33,13 @@ SEED = 20240229
 
 @dataclass(frozen=True)
 class Ftrl:
-    alpha: float = 0.2
+    """The L1 penalty is l1 times the root of the number of examples."""
+
+    alpha: float = 0.7
     beta: float = 1.0
-    l1: float = 1.5
+    l1: float = 0.134
     l2: float = 1.0
-    epochs: int = 3
+    epochs: int = 6
 
 
 def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -65,10 +67,11 @@ def examples(texts: pa.Array, bits: int = BITS) -> list[np.ndarray]:
 def train(texts: pa.Array, labels: np.ndarray, how: Ftrl = Ftrl(), bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:  # noqa: B008
     """Non-zero slots and their weights."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
+    l1 = how.l1 * np.sqrt(len(labels))
 
     def weights(i: np.ndarray) -> np.ndarray:
         zi = z[i]
-        w = -np.sign(zi) * np.maximum(np.abs(zi) - how.l1, 0) / ((how.beta + np.sqrt(n[i])) / how.alpha + how.l2)
+        w = -np.sign(zi) * np.maximum(np.abs(zi) - l1, 0) / ((how.beta + np.sqrt(n[i])) / how.alpha + how.l2)
         w[i == 0] = -zi[i == 0] / ((how.beta + np.sqrt(n[0])) / how.alpha)  # the bias is not shrunk
         return w
 
