@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import mainhtml, mixing, pieces, quality, substring
+from tessera.llm import mainhtml, mixing, near, pieces, quality, substring, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_substring_dedup": substring.op3_substring_dedup,
+    "op6_minhash_near_dedup": near.op6_minhash_near_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
     "op9_html_extraction": mainhtml.op9_html_extraction,
     "op10_sentencepiece": pieces.op10_sentencepiece,
@@ -14,4 +16,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_quality_rules": quality.ORACLE_SQL,
     "op3_substring_dedup": substring.ORACLE_SQL,
+    "op6_minhash_near_dedup": near.ORACLE_SQL,
 }
