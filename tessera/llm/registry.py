@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import mainhtml, mixing, near, pieces, quality, substring, toxicity
+from tessera.llm import licenses, mainhtml, mixing, near, pieces, quality, substring, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_substring_dedup": substring.op3_substring_dedup,
+    "op4_license_scan": licenses.op4_license_scan,
     "op6_minhash_near_dedup": near.op6_minhash_near_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
@@ -16,5 +17,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_quality_rules": quality.ORACLE_SQL,
     "op3_substring_dedup": substring.ORACLE_SQL,
+    "op4_license_scan": licenses.ORACLE_SQL,
     "op6_minhash_near_dedup": near.ORACLE_SQL,
 }
