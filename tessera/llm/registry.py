@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import licenses, mainhtml, mixing, near, pieces, quality, substring, toxicity
+from tessera.llm import forest, licenses, mainhtml, mixing, near, pieces, quality, substring, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_substring_dedup": substring.op3_substring_dedup,
     "op4_license_scan": licenses.op4_license_scan,
+    "op5_nearest_neighbours": forest.op5_nearest_neighbours,
     "op6_minhash_near_dedup": near.op6_minhash_near_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
