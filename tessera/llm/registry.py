@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import forest, licenses, mainhtml, mixing, near, pieces, quality, substring, toxicity
+from tessera.llm import forest, licenses, lm, mainhtml, mixing, near, pieces, quality, substring, toxicity
 
 QUERIES = {
+    "op1_lm_scoring": lm.op1_lm_scoring,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_substring_dedup": substring.op3_substring_dedup,
     "op4_license_scan": licenses.op4_license_scan,
