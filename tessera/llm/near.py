@@ -4,17 +4,17 @@ A document is the set of its ``width``-word shingles.  Documents with equal sets
 one representative stands for.  Representatives are branched in TREES independent trees: at each level
 a node picks BRANCHES minwise coordinates, and a member goes to the child named by its minimum there, so
 that two sets of similarity s share a child with probability 1 - (1 - s) ** BRANCHES.  Nodes of at
-most SMALL members are compared exhaustively by sketches; larger ones are branched again, LEVELS deep.
-At 85 % similarity a pair misses every tree with probability under 2e-5.
-
-Links are confirmed on the full shingle sets, in two rounds that together leave out no pair of a node:
-
-1. Each node (a large one is dealt into parts of SMALL members, whose first members meet as a node of their
-   own) compares every member with its first one; confirmed links are merged into components.
-2. Each node compares its members across components that are still apart.
-
-So a group of m near copies costs about m comparisons, not m * m.  A pair whose sketches agree in fewer
-than LEAST_AGREEING of SKETCH places is dropped; at 85 % that happens to fewer than one pair in 10**5.
+most SMALL members are compared exhaustively; larger ones are branched again, up to LEVELS deep.  At 85 %
+similarity a pair misses every tree with probability under 2e-5.
+
+Inside a node members are compared by sketches, and a node tells only a spanning forest of the pairs
+that may be similar, never all pairs.  Connected members of these forests are a neighbourhood; a
+true link lies inside one.  A neighbourhood is then verified on full shingle sets: shared-shingle
+counts of all its pairs come from one product of its incidence matrix (large neighbourhoods in blocks
+of PART members by PART members), and again a spanning forest of the links is told.  So a group of m near
+copies costs about m rows at each step, and no link between different texts is lost to a cap.
+A pair whose sketches agree in fewer than LEAST_AGREEING of SKETCH places is not compared further; at the
+threshold of 80 % that happens to fewer than one pair in 10**5.
 
 Components are found by alternating large and small stars, each a grouped minimum and a join.
 
@@ -40,7 +40,9 @@ TREES, LEVELS, BRANCHES = 4, 3, 2
 PATHS = TREES * LEVELS * BRANCHES
 SKETCH = 96
 SMALL = 128
-LEAST_AGREEING = 62
+LEAST_AGREEING = 60
+PART = 1024
+COLUMNS = 4096
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**64, SKETCH, dtype=U)
 _ODD = _rng.integers(0, 2**64, SKETCH, dtype=U) | U(1)
@@ -94,27 +96,27 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, set_a long, set_b long, paths array<long>, sketch binary")
 
 
-def _nodes(reps: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """All nodes to compare: (node, doc, n, sketch); and large ones that are left at the last level, dealt into parts."""
-    branch = lambda tree, level: F.array(*(F.xxhash64("node", F.lit(b), F.col("paths")[F.lit(level * BRANCHES + b) + F.col("tree") * (LEVELS * BRANCHES)]) for b in range(BRANCHES)))
+def _nodes(reps: DataFrame) -> DataFrame:
+    """The nodes to compare (node, doc, n, sketch): small ones, and those still large at the last level."""
+
+    def branch(level: int):
+        first = F.lit(level * BRANCHES) + F.col("tree") * (LEVELS * BRANCHES)
+        return F.explode(F.array(*(F.xxhash64("node", F.lit(b), F.col("paths")[first + b]) for b in range(BRANCHES))))
+
     rows = reps.select("doc", "n", "sketch", "paths", F.explode(F.array(*(F.lit(t) for t in range(TREES)))).alias("tree")).withColumn("node", F.col("tree").cast("long"))
-    done = []
+    done = None
     for level in range(LEVELS):
-        rows = rows.withColumn("node", F.explode(branch("tree", level)))
+        rows = rows.withColumn("node", branch(level))
         several = cut_lineage(rows.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
         rows = cut_lineage(rows.join(several, "node"))
-        done.append(rows.where(F.col("members") <= SMALL).select("node", "doc", "n", "sketch"))
-        rows = rows.where(F.col("members") > SMALL).drop("members") if level + 1 < LEVELS else rows.where(F.col("members") > SMALL)
-        if not rows.take(1):
-            break
-    small = done[0]
-    for d in done[1:]:
-        small = small.unionByName(d)
-    return small, rows.select("node", "doc", "n", "sketch", *(["members"] if "members" in rows.columns else [F.lit(0).alias("members")]))
+        ready = (rows if level + 1 == LEVELS else rows.where(F.col("members") <= SMALL)).select("node", "doc", "n", "sketch")
+        done = ready if done is None else done.unionByName(ready)
+        rows = rows.where(F.col("members") > SMALL).drop("members")
+    return done
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """The nodes of a partition sorted by node, as arrays (doc, n, sketch, component)."""
+    """The nodes of a partition sorted by node, as arrays (doc, n, sketch)."""
     rest: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -132,61 +134,107 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ..
 def _cut(table: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
     if not table.num_rows:
         return
-    node, doc, n, comp = (table.column(c).to_numpy() for c in ("node", "doc", "n", "comp"))
+    node, doc, n = (table.column(c).to_numpy() for c in ("node", "doc", "n"))
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1, [len(node)]])
     for a, e in zip(cuts[:-1], cuts[1:], strict=True):
         if e - a > 1:
-            yield doc[a:e], n[a:e], sketch[a:e], comp[a:e]
+            yield doc[a:e], n[a:e], sketch[a:e]
+
 
+def _forest(size: int, alike) -> Iterator[tuple[int, int]]:
+    """A spanning forest of a graph by breadth-first search; ``alike(i, left)`` picks i's neighbours among left.
 
-def _alike(n: np.ndarray, sketch: np.ndarray, i: int, to: np.ndarray, percent: int) -> np.ndarray:
-    """Which members of ``to`` pass the size and sketch tests against member i."""
-    fits = to[100 * np.minimum(n[to], n[i]) >= percent * np.maximum(n[to], n[i])]
-    return fits[(sketch[fits] == sketch[i]).sum(axis=1) >= LEAST_AGREEING] if len(fits) else fits
+    A vertex is compared only with those not reached yet."""
+    left = np.arange(1, size)
+    queue = [0]
+    while queue or len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+        i = queue.pop()
+        if len(left):
+            hit = alike(i, left)
+            if hit.any():
+                for j in left[hit]:
+                    yield i, int(j)
+                queue += left[hit].tolist()
+                left = left[~hit]
 
 
-def _candidates(nodes: DataFrame, percent: int, first_only: bool) -> DataFrame:
-    """Distinct pairs a < b that a node brings together: with its first member, or across components."""
+def _neighbours(nodes: DataFrame, percent: int) -> DataFrame:
+    """Edges a < b that span, in each node, the members whose sizes and sketches allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, n, sketch, comp in _grouped(batches):
-            found = []
-            if first_only:
-                i = int(np.argmin(doc))
-                found.append((i, _alike(n, sketch, i, np.flatnonzero(doc != doc[i]), percent)))
-            else:
-                kinds, counts = np.unique(comp, return_counts=True)
-                if len(kinds) == 1:
-                    continue
-                most = kinds[np.argmax(counts)]
-                for i in np.flatnonzero(comp != most):  # against the largest component, and against others once
-                    found.append((i, _alike(n, sketch, int(i), np.flatnonzero((comp != comp[i]) & ((comp == most) | (doc > doc[i]))), percent)))
-            a = np.concatenate([np.full(len(t), doc[i]) for i, t in found])
-            b = np.concatenate([doc[t] for _, t in found])
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        found: list[tuple[int, int]] = []
+        for doc, n, sketch in _grouped(batches):
+
+            def alike(i: int, left: np.ndarray, n=n, sketch=sketch, doc=doc) -> np.ndarray:
+                ok = (100 * np.minimum(n[left], n[i]) >= percent * np.maximum(n[left], n[i])) & (doc[left] != doc[i])
+                at = np.flatnonzero(ok)
+                ok[at] = (sketch[left[at]] == sketch[i]).sum(axis=1) >= LEAST_AGREEING
+                return ok
+
+            found += [(doc[i], doc[j]) for i, j in _forest(len(doc), alike)]
+            if len(found) > 10_000:
+                yield _edges(found)
+                found = []
+        yield _edges(found)
 
     dealt = nodes.repartition("node").sortWithinPartitions("node")
-    return dealt.mapInArrow(run, "a long, b long").where("a < b").distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs that meet the threshold on full shingle sets."""
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    x = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(x.min(axis=1)), pa.array(x.max(axis=1))], names=["a", "b"])
+
+
+def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share: the product of the incidence matrix with itself, in strips of columns."""
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    distinct, column, count = np.unique(every, return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1  # a shingle of one set is shared with none
+    some = count[column] > 1
+    owner, column = owner[some], place[column[some]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, e = np.searchsorted(column, [start, start + COLUMNS])
+        strip = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - start)), np.float32)
+        strip[owner[a:e], column[a:e] - start] = 1
+        out += strip @ strip.T
+    return out
+
+
+def _links(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges a < b that span the links inside each neighbourhood (doc, comp), confirmed on full shingle sets."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, e in portions(batch.column("text"), 1 << 19):
                 part = batch.slice(a, e - a)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.view(np.int64) for s in shingle_sets(part.column("text"), width)], pa.list_(pa.int64()))], names=["doc", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("comp"), part.column("parts"), part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), width)], pa.binary())], names=["comp", "parts", "doc", "set"])
+
+    def verify(table: pa.Table) -> pa.Table:
+        doc = table.column("doc").to_numpy()
+        own = [np.frombuffer(s, U) for s in table.column("set").to_pylist()]
+        shared, n = _shared_counts(own), np.array([len(s) for s in own])
+
+        def alike(i: int, left: np.ndarray) -> np.ndarray:
+            return (100 * shared[i, left].astype(np.int64) >= percent * (n[left] + n[i] - shared[i, left].astype(np.int64))) & (doc[left] != doc[i])
+
+        return pa.Table.from_batches([_edges([(doc[i], doc[j]) for i, j in _forest(len(doc), alike)])])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc long, set array<long>")
-    left, right = own.select(F.col("doc").alias("a"), F.col("set").alias("set_of_a")), own.select(F.col("doc").alias("b"), F.col("set").alias("set_of_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    same = F.size(F.array_intersect("set_of_a", "set_of_b"))
-    union = F.size("set_of_a") + F.size("set_of_b") - same
-    return both.where(same.cast("long") * 100 >= union.cast("long") * percent).select("a", "b").distinct()
+    sizes = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    placed = cut_lineage(members.join(sizes, "comp").select(F.col("doc").alias("doc_id"), "comp", "parts"))
+    full = docs.where("doc_id is not null").join(placed, "doc_id").select("comp", "parts", "doc_id", "text").mapInArrow(sets, "comp long, parts int, doc long, set binary")
+    # every two parts of a large neighbourhood meet once, in the task named by both
+    mine = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    met = full.withColumn("mine", mine).withColumn("other", other).withColumn("task", F.struct(F.least("mine", "other"), F.greatest("mine", "other")))
+    return met.select("comp", "task", "doc", "set").groupBy("comp", "task").applyInArrow(lambda t: verify(t), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -218,19 +266,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prints = cut_lineage(fingerprints(docs, width))
     usable = prints.where("n > 0 and doc_id is not null")
     classes = cut_lineage(usable.groupBy("set_a", "set_b").agg(F.min_by(F.struct("n", "paths", "sketch"), "doc_id").alias("p"), F.min("doc_id").alias("doc")))
-    small, large = _nodes(classes.select("doc", "p.*"))
-    # a large node in parts of about SMALL members; the first member of each part meets the others in one more node
-    part = large.withColumn("part", F.xxhash64("node", F.pmod(F.xxhash64("doc"), F.ceil(F.col("members") / SMALL))))
-    heads = part.groupBy("node", "part").agg(F.min_by(F.struct("doc", "n", "sketch"), "doc").alias("h")).select("node", "h.*")
-    alone = F.col("doc").alias("comp")
-    rounds = small.select("*", alone).unionByName(part.select(F.col("part").alias("node"), "doc", "n", "sketch", alone)).unionByName(heads.select("*", alone))
-    links = cut_lineage(_confirmed(cut_lineage(_candidates(rounds, percent, True)), docs, width, percent))
-    comps = cut_lineage(components(links))
-    labelled = small.unionByName(large.drop("members")).join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")).select("node", "doc", "n", "sketch", "comp")
-    more = cut_lineage(_candidates(labelled, percent, False).join(links, ["a", "b"], "left_anti"))
-    if more.take(1):
-        new = _confirmed(more, docs, width, percent)
-        comps = cut_lineage(components(links.union(new)))
+    near = components(_neighbours(_nodes(classes.select("doc", "p.*")), percent))
+    comps = cut_lineage(components(_links(near, docs, width, percent)))
     by_class = classes.select("set_a", "set_b", "doc").join(comps, "doc", "left").select("set_a", "set_b", F.coalesce("comp", "doc").alias("class_comp"))
     out = prints.select("doc_id", "n", F.when(F.expr("n > 0 and doc_id is not null"), F.col("set_a")).alias("set_a"), "set_b").join(by_class, ["set_a", "set_b"], "left")
     component = F.coalesce("class_comp", "doc_id")
