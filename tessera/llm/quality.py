@@ -99,7 +99,8 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     inner = inner.select("_row", *(F.expr(steps[k]).alias(k) for k in counts))
     inner = inner.withColumn("base_failed", F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words"))
     inner = inner.withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
-    return inner.select("_row.*", F.struct(*counts, "base_failed", "kept").alias(prefix))
+    # explode keeps a filter on the verdict above this point, where it would otherwise be inlined into every step below
+    return inner.select("_row", F.explode(F.array(F.struct(*counts, "base_failed", "kept"))).alias(prefix)).select("_row.*", prefix)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
