@@ -201,7 +201,7 @@ def _factors(repeat_at: np.ndarray, n_words: int, window: int) -> list[tuple[int
     return [(int(a), int(min(e, n_words))) for a, e in zip(first, last, strict=True)]
 
 
-def _parse(batches: list[pa.RecordBatch], answers: pa.Table, window: int, anchor: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
+def _parse(batches: list[pa.RecordBatch], answers: pa.Table, window: int, anchor: int, n_buckets: int, carry: list[str]) -> Iterator[pa.RecordBatch]:
     anchors, _ = _anchors(batches, window, anchor)
     shared = _told(answers, 2, anchors, n_buckets)
     keys, least = _windows(batches, anchors, shared, window, anchor)
@@ -225,19 +225,21 @@ def _parse(batches: list[pa.RecordBatch], answers: pa.Table, window: int, anchor
                 out.append({"first": f, "last": e, "char_start": len(blob[origin:starts].decode()), "char_end": len(blob[origin:ends].decode())})
             rows.append({"doc_id": doc_id, "text": text, "n_words": n, "n_removed": sum(e - f for f, e in spans), "spans": out, "kept": b" ".join(kept).decode()})
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=_SPANS_ARROW)
+            made = pa.RecordBatch.from_pylist(rows, schema=_SPANS_ARROW)
+            yield pa.RecordBatch.from_arrays([*made.columns, *(part.column(c) for c in carry)], names=[*made.schema.names, *carry])
 
 
 _SPANS_ARROW = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("char_start", pa.int64()), ("char_end", pa.int64())]))), ("kept", pa.string())])
 
 
-def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
-    """One row a document: text, n_words, n_removed, the duplicate spans (words and characters, half open), and the kept words joined by a space."""
+def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, block_bytes: int = blocks.BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: text, n_words, n_removed, the duplicate spans (words and characters, half open), the kept words joined by a space, and the input columns named in carry."""
     if not 1 <= anchor <= window:
         raise ValueError("anchor must be between 1 and window")
     n_blocks, size = blocks.block_count(docs, text, block_bytes)
     n_buckets = blocks.bucket_count(docs, size // 16)
-    dealt = docs.select(blocks.block_of(doc_id, text, n_blocks).alias("block"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    dealt = docs.select(blocks.block_of(doc_id, text, n_blocks).alias("block"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
+    carried = [f"carried_{c}" for c in carry]
 
     def ask(key, texts):
         keys, many = _anchors(texts.to_batches(), window, anchor)
@@ -253,25 +255,28 @@ def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.Table.from_batches(out, schema=_ASKED_ARROW)
 
     def parse(key, texts, answers):
-        return pa.Table.from_batches(list(_parse(texts.to_batches(), answers, window, anchor, n_buckets)), schema=_SPANS_ARROW)
+        made = list(_parse(texts.to_batches(), answers, window, anchor, n_buckets, carried))
+        return pa.Table.from_batches(made) if made else pa.table({f.name: pa.array([], f.type) for f in [*_SPANS_ARROW, *(texts.schema.field(c) for c in carried)]})
 
     by_block = dealt.groupBy("block")
     sieve = by_block.applyInArrow(ask, ASKED).groupBy("bucket").applyInArrow(_sieve_bucket, ASKED)
     index = by_block.cogroup(sieve.groupBy("block")).applyInArrow(ask_windows, ASKED).groupBy("bucket").applyInArrow(_index_bucket, ASKED)
-    return by_block.cogroup(index.groupBy("block")).applyInArrow(parse, SPANS)
+    schema = ", ".join([SPANS, *(f"`carried_{c}` {dealt.schema[f'carried_{c}'].dataType.simpleString()}" for c in carry)])
+    out = by_block.cogroup(index.groupBy("block")).applyInArrow(parse, schema)
+    return out.withColumnsRenamed({f"carried_{c}": c for c in carry})
 
 
 _ASKED_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
 
 
 def remove_spans(spans: DataFrame) -> DataFrame:
-    """doc_id and text without its duplicate spans; a text that has none is returned as it is."""
+    """The result of duplicate_spans with the duplicate spans taken out of the text; a text that has none stays as it is."""
     cut = F.expr(
         "array_join(transform(sequence(0, size(spans)), i -> substring(text, "
         "if(i = 0, 1, spans[i - 1].char_end + 1), "
         "if(i = size(spans), length(text), spans[i].char_start) - if(i = 0, 0, spans[i - 1].char_end))), ' ')"
     )
-    return spans.select("doc_id", F.when(F.size("spans") == 0, F.col("text")).otherwise(F.trim(cut)).alias("text"), "n_removed")
+    return spans.withColumn("text", F.when(F.size("spans") == 0, F.col("text")).otherwise(F.trim(cut)))
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
