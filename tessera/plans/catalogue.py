@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tessera.operators import alignment
+from tessera.plans.operator import OPERATORS
+
+__all__ = ["alignment"]
+QUERIES = {name: op.query() for name, op in OPERATORS.items()}
+ORACLE_SQL = {name: op.duckdb() for name, op in OPERATORS.items()}
