@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.operators import alignment
+from tessera.operators import alignment, detectors
 from tessera.plans.operator import OPERATORS
 
-__all__ = ["alignment"]
+__all__ = ["alignment", "detectors"]
 QUERIES = {name: op.query() for name, op in OPERATORS.items()}
 ORACLE_SQL = {name: op.duckdb() for name, op in OPERATORS.items()}
