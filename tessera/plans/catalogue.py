@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.operators import alignment, detectors
+from tessera.operators import alignment, detectors, intervals, review
 from tessera.plans.operator import OPERATORS
+from tessera.sources import formats
 
-__all__ = ["alignment", "detectors"]
+__all__ = ["ORACLE_SQL", "QUERIES", "alignment", "detectors", "formats", "intervals", "review"]
 QUERIES = {name: op.query() for name, op in OPERATORS.items()}
 ORACLE_SQL = {name: op.duckdb() for name, op in OPERATORS.items()}
