@@ -30,12 +30,6 @@ def _(d: SparkDialect) -> str:
     return f"""SELECT user_id AS seq_id, {day} - 1 AS site, CAST(CASE max_by(event_type, event_id) WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 5 END AS INT) AS base FROM events GROUP BY 1, 2"""
 
 
-@view("doc_sites", "documents")
-def _(d: SparkDialect) -> str:
-    """Base composition text of every whole document, as a sequence of letters A C G T N."""
-    return f"""SELECT doc_id AS seq_id, concat('seq_', CAST(doc_id AS STRING)) AS name, translate(upper(translate(text, chr(10) || chr(13) || chr(9) || ' ', '')), 'BDEFHIJKLMOPQRSUVWXYZ', 'NNNNNNNNNNNNNNNNTNNNN') AS sequence FROM documents"""
-
-
 @view("words", "embed_sites")
 def _(d: SparkDialect) -> str:
     lane = "CAST(power(4, site % 16) AS BIGINT)"
@@ -182,7 +176,7 @@ def _(d: SparkDialect) -> str:
 
 @operator("four_gamete", "sites")
 def _(d: SparkDialect) -> str:
-    """Pairs of two-state sites at most 30 apart, and whether all four combinations occur."""
+    """Pairs of sites at most 30 apart, each split into its smallest state and the rest, and whether all four combinations occur."""
     two = "(SELECT s.seq_id, s.site, CASE WHEN s.base = m.low THEN 0 ELSE 1 END AS allele FROM sites s JOIN (SELECT site, min(base) AS low FROM sites WHERE base < 4 GROUP BY site HAVING count(DISTINCT base) <= 4) m ON s.site = m.site WHERE s.base < 4)"
     return f"SELECT a.site AS site_a, b.site AS site_b, CAST(count(DISTINCT a.allele * 2 + b.allele) AS INT) AS gametes, count(DISTINCT a.allele * 2 + b.allele) = 4 AS incompatible FROM {two} a JOIN {two} b ON a.seq_id = b.seq_id AND b.site > a.site AND b.site <= a.site + 30 GROUP BY 1, 2"
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.operators import alignment, detectors, intervals, review
+from tessera.operators import alignment, detectors, intervals, kernels, review
+from tessera.plans.cyclic import cyclic_events
 from tessera.plans.operator import OPERATORS
 from tessera.sources import formats
 
-__all__ = ["ORACLE_SQL", "QUERIES", "alignment", "detectors", "formats", "intervals", "review"]
+__all__ = ["ORACLE_SQL", "QUERIES", "alignment", "detectors", "formats", "intervals", "kernels", "review"]
 QUERIES = {name: op.query() for name, op in OPERATORS.items()}
+QUERIES |= kernels.QUERIES
+QUERIES["cyclic_events"] = lambda spark, sf_dir: cyclic_events(spark, kernels.alignment_of(spark, sf_dir))
 ORACLE_SQL = {name: op.duckdb() for name, op in OPERATORS.items()}

@@ -13,7 +13,9 @@ def _(d: SparkDialect) -> str:
 @view("fasta", "letters")
 def _(d: SparkDialect) -> str:
     """One record a row: a header and lines of 80."""
-    return f"""SELECT seq_id, concat('>nation_', CAST(seq_id AS {'STRING' if d.name == 'spark' else 'VARCHAR'}), chr(10), {d.replace_all('sequence', '(.{80})', chr(92) + '1' + chr(10)) if d.name == 'duckdb' else "regexp_replace(sequence, '(.{80})', concat('$1', chr(10)))"}) AS record FROM letters"""
+    text, eighty = ("STRING" if d.name == "spark" else "VARCHAR"), "(" + "." * 80 + ")"
+    wrapped = f"regexp_replace(sequence, '{eighty}', concat('$1', chr(10)))" if d.name == "spark" else f"regexp_replace(sequence, '{eighty}', concat(chr(92), '1', chr(10)), 'g')"
+    return f"SELECT seq_id, concat('>nation_', CAST(seq_id AS {text}), chr(10), {wrapped}) AS record FROM letters"
 
 
 @operator("fasta_export", "fasta")
