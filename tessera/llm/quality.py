@@ -45,7 +45,7 @@ RULES = (
     Rule("symbols", "symbol", "n_symbols", "n_words", None, 250),
     Rule("exclamation", "symbol", "n_exclaimed", "n_words", None, 300),
     Rule("stop_words", "stop-word", "n_stop_words", "n_words", 20, None),
-    Rule("duplicate_lines", "line", "n_dup_lines", "n_lines", None, 300),
+    Rule("duplicate_lines", "line", "n_dup_lines", "n_lines", None, 500),
     Rule("ellipsis_lines", "line", "n_ellipsis_lines", "n_lines", None, 300),
     Rule("bullet_lines", "line", "n_bullet_lines", "n_lines", None, 900),
 )
