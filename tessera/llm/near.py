@@ -7,7 +7,8 @@ that two sets of similarity s share a child with probability 1 - (1 - s) ** BRAN
 most SMALL members are compared exhaustively; larger ones are branched again, up to LEVELS deep.  At 85 %
 similarity a pair misses every tree with probability under 2e-5.
 
-Inside a node members are compared by sketches, and a node tells only a spanning forest of the pairs
+A node still large at the last level is dealt into parts of NODE_PART members, every two of which are compared in a
+task of their own.  Inside a node members are compared by sketches, and a node tells only a spanning forest of the pairs
 that may be similar, never all pairs.  Connected members of these forests are a neighbourhood; a
 true link lies inside one.  A neighbourhood is then verified on full shingle sets: shared-shingle
 counts of all its pairs come from one product of its incidence matrix (large neighbourhoods in blocks
@@ -42,6 +43,7 @@ SKETCH = 96
 SMALL = 128
 LEAST_AGREEING = 60
 PART = 1024
+NODE_PART = 1024
 COLUMNS = 4096
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**64, SKETCH, dtype=U)
@@ -97,7 +99,7 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _nodes(reps: DataFrame) -> DataFrame:
-    """The nodes to compare (node, doc, n, sketch): small ones, and those still large at the last level."""
+    """The nodes to compare (node, doc, n, sketch): small ones, and those still large at the last level in pairs of parts."""
 
     def branch(level: int):
         first = F.lit(level * BRANCHES) + F.col("tree") * (LEVELS * BRANCHES)
@@ -109,7 +111,13 @@ def _nodes(reps: DataFrame) -> DataFrame:
         rows = rows.withColumn("node", branch(level))
         several = cut_lineage(rows.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
         rows = cut_lineage(rows.join(several, "node"))
-        ready = (rows if level + 1 == LEVELS else rows.where(F.col("members") <= SMALL)).select("node", "doc", "n", "sketch")
+        if level + 1 < LEVELS:
+            ready = rows.where(F.col("members") <= SMALL)
+        else:  # every two parts of a large node meet once, in a node of their own
+            parts = F.ceil(F.col("members") / NODE_PART).cast("int")
+            met = rows.withColumn("mine", F.pmod(F.xxhash64("doc"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+            ready = met.withColumn("node", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")))
+        ready = ready.select("node", "doc", "n", "sketch")
         done = ready if done is None else done.unionByName(ready)
         rows = rows.where(F.col("members") > SMALL).drop("members")
     return done

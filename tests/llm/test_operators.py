@@ -153,7 +153,7 @@ def test_substring_text_without_spans(docs):
 
 def test_license_scan(docs, empty):
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
-    gpl = next(r for r in got.values() if r.text is not None) if False else next(r for r in got.values() if "gpl" in r.labels)
+    gpl = next(r for r in got.values() if "gpl" in r.labels)
     assert (gpl.n_base, gpl.base_labels, gpl.first_word, gpl.score) == (2, "gpl,reserved", 0, 1.0)
     ccs = next(r for r in got.values() if r.n_words == 5 and "cc-by" in r.base_labels)
     assert (ccs.n_base, ccs.first_word, ccs.last_word) == (2, 0, 2)
@@ -225,6 +225,8 @@ def test_near_duplicates(docs, empty, width, percent):
 def test_near_duplicates_of_a_large_group(spark, monkeypatch):
     """Hundreds of near copies of one text, many of them under the threshold with one another; parts and deep nodes are met."""
     monkeypatch.setattr(near, "PART", 32)
+    monkeypatch.setattr(near, "NODE_PART", 48)
+    monkeypatch.setattr(near, "SMALL", 24)
     rnd = random.Random(5)
     base = [f"w{k}" for k in range(150)]
     rows = []
