@@ -43,12 +43,15 @@ def bucket_count(docs: DataFrame, keys: int) -> int:
 
 
 def shared_dir(df: DataFrame) -> None:
-    """Sets a checkpoint folder only where the session names none, as in tests."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+    """Makes the shared folder that the session names the checkpoint folder; only where it names none, as in tests, one of its own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="tessera-")
+        context.setCheckpointDir(named)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
