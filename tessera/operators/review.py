@@ -59,5 +59,5 @@ def _(d: SparkDialect) -> str:
 
 @operator("event_summary", "best_events")
 def _(d: SparkDialect) -> str:
-    """Events by recombinant, and in all."""
-    return "SELECT recombinant, count(*) AS n, CAST(max(descent) AS INT) AS most_descent, round(min(p), 9) AS best_p FROM best_events GROUP BY GROUPING SETS ((recombinant), ())"
+    """Events by recombinant, and in all (-1)."""
+    return "SELECT CASE WHEN grouping(recombinant) = 1 THEN -1 ELSE recombinant END AS recombinant, count(*) AS n, CAST(max(descent) AS INT) AS most_descent, round(min(p), 9) AS best_p FROM best_events GROUP BY GROUPING SETS ((recombinant), ())"

@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.operators import kernels
@@ -22,7 +23,7 @@ def oracle():
 
 
 def rows(frame):
-    return sorted(tuple("" if v is None or v != v else round(v, 7) if isinstance(v, float) else v for v in r) for r in frame.itertuples(index=False))
+    return sorted(tuple("" if pd.isna(v) else round(v, 7) if isinstance(v, float) else v for v in r) for r in frame.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
