@@ -7,7 +7,7 @@ from tessera.plans.cyclic import cyclic_events
 from tessera.plans.operator import OPERATORS
 from tessera.sources import formats
 
-__all__ = ["ORACLE_SQL", "QUERIES", "alignment", "detectors", "formats", "intervals", "kernels", "review", "roles"]
+__all__ = ["OPERATORS", "ORACLE_SQL", "QUERIES", "alignment", "detectors", "formats", "intervals", "kernels", "review", "roles"]
 QUERIES = {name: op.query() for name, op in OPERATORS.items()}
 QUERIES |= kernels.QUERIES
 QUERIES["cyclic_events"] = lambda spark, sf_dir: cyclic_events(spark, kernels.alignment_of(spark, sf_dir))
