@@ -22,6 +22,7 @@ is log10(0.5 / 0.5) a token; further columns are ignored; an empty table gives a
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 from collections.abc import Iterator
@@ -35,10 +36,12 @@ from tessera.llm import blocks
 from tessera.llm.eliasfano import CODEBOOK, Trie
 from tessera.llm.kernel import SPACED, U, Words, mix, pack_sorted, planes, portions, unpack_sorted, unplanes
 
-ORDER = 2
+ORDER = 3
 MU = (0.0, 0.0, 300.0, 10.0, 4.0, 4.0)
 CONTEXT_BITS, SUCCESSOR_BITS = 30, 26
 KEY_BITS = CONTEXT_BITS + SUCCESSOR_BITS
+#: Larger blocks than elsewhere: an n-gram is sent once a block, and denser sorted keys take fewer bits each.
+BLOCK_BYTES = 8 << 20
 END = U(0x5EED0F7E47)
 ASKED = "kind int, bucket int, block int, keys binary, counts binary, n long, v long"
 _ASKED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
@@ -91,6 +94,15 @@ def _bounds(keys: np.ndarray, order: int, n: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, cuts), [len(keys)]]).astype(np.int64)
 
 
+def _press(blob: bytes) -> bytes:
+    """A length and the bytes in zstd, whose entropy coding gets at the top bytes of key differences that Spark's block compressor leaves."""
+    return len(blob).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(blob, asbytes=True)
+
+
+def _unpress(blob: bytes) -> bytes:
+    return pa.Codec("zstd", 3).decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+
+
 def _row(kind: int, bucket: int, block: int, keys: bytes, counts: bytes, n: int = 0, v: int = 0) -> dict:
     return {"kind": kind, "bucket": bucket, "block": block, "keys": keys, "counts": counts, "n": n, "v": v}
 
@@ -102,14 +114,14 @@ def _ask(block: int, table: pa.Table, order: int, n_buckets: int) -> Iterator[di
         cuts = _bounds(keys, kind, n_buckets)
         for b, (a, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if kind == 1 or e > a:  # every bucket of words tells every block its totals
-                yield _row(kind, b, block, pack_sorted(keys[a:e]), planes(counts[a:e].astype(np.uint32)))
+                yield _row(kind, b, block, _press(pack_sorted(keys[a:e])), _press(planes(counts[a:e].astype(np.uint32))))
 
 
 def _answer(asked: pa.Table) -> Iterator[dict]:
     """Adds up one bucket's counts, and answers each block in the order of its keys."""
     rows = asked.to_pylist()
-    keys = [unpack_sorted(r["keys"]) for r in rows]
-    counts = [unplanes(r["counts"], np.uint32).astype(np.int64) for r in rows]
+    keys = [unpack_sorted(_unpress(r["keys"])) for r in rows]
+    counts = [unplanes(_unpress(r["counts"]), np.uint32).astype(np.int64) for r in rows]
     every, some = np.concatenate(keys), np.concatenate(counts)
     trained = some > 0
     distinct, inverse = np.unique(every[trained], return_inverse=True)
@@ -120,7 +132,7 @@ def _answer(asked: pa.Table) -> Iterator[dict]:
         for r, k in zip(rows, keys, strict=True):
             at = np.minimum(np.searchsorted(distinct, k), max(0, v - 1))
             found = np.where(distinct[at] == k, total[at], 0) if v else np.zeros(len(k), np.int64)
-            yield _row(1, r["bucket"], r["block"], planes(found.astype(np.int64)), b"", n, v)
+            yield _row(1, r["bucket"], r["block"], _press(planes(found.astype(np.int64))), b"", n, v)
         return
     drop = U(64 - KEY_BITS)
     handle, path = tempfile.mkstemp(suffix=".trie")
@@ -130,7 +142,7 @@ def _answer(asked: pa.Table) -> Iterator[dict]:
         wanted, inverse = np.unique(every, return_inverse=True)
         codes, at = Trie(path, SUCCESSOR_BITS).lookup(wanted >> drop)[inverse], 0
         for r, k in zip(rows, keys, strict=True):
-            yield _row(kind, r["bucket"], r["block"], codes[at : at + len(k)].tobytes(), b"")
+            yield _row(kind, r["bucket"], r["block"], _press(codes[at : at + len(k)].tobytes()), b"")
             at += len(k)
     finally:
         os.unlink(path)
@@ -143,7 +155,7 @@ def _score(table: pa.Table, answers: pa.Table, order: int, n_buckets: int, mu: t
 
     def told(kind: int, size: int, width: type) -> np.ndarray:
         parts = sorted((r["bucket"], r["keys"]) for r in rows if r["kind"] == kind)
-        out = np.concatenate([np.zeros(0, width), *(unplanes(x, width) for _, x in parts)])
+        out = np.concatenate([np.zeros(0, width), *(unplanes(_unpress(x), width) for _, x in parts)])
         assert len(out) == size
         return out
 
@@ -169,10 +181,11 @@ def _score(table: pa.Table, answers: pa.Table, order: int, n_buckets: int, mu: t
     )
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: str = "pmod(crc32(cast(doc_id as string)), 5) = 1", order: int = ORDER, mu: tuple[float, ...] = MU, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: str = "pmod(crc32(cast(doc_id as string)), 5) = 1", order: int = ORDER, mu: tuple[float, ...] = MU, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Learns from the rows that ``held_out`` (SQL over doc_id) does not name, and scores every row."""
     n_blocks, size = blocks.block_count(docs, text, block_bytes)
-    n_buckets = blocks.bucket_count(docs, size // 6)
+    # all orders together have two groups or more for each shuffle partition
+    n_buckets = max(math.ceil(2 * blocks.shuffle_partitions(docs) / order), math.ceil(size // 6 / blocks.BUCKET_KEYS))
     dealt = docs.select(blocks.block_of(doc_id, text, n_blocks).alias("block"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("held_out", F.coalesce(F.expr(held_out), F.lit(False)))
 
     def ask(key, table):

@@ -104,6 +104,14 @@ def test_lm_scores(docs, empty, order):
     assert len(seen) == 1 and lm.score(empty).count() == 0
 
 
+def test_lm_default_uses_two_words_of_context(spark):
+    # after "x a" comes c, after "y a" comes d: one word of context cannot tell them apart
+    texts = ["x a c", "y a d"] * 20 + ["x a c", "x a d"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(docs, held_out="doc_id >= 40").collect()}
+    assert got[40] > got[41] + 0.1
+
+
 def test_quality_counts_and_verdict(docs, empty):
     got = quality.judge(docs).select("doc_id", "text", "quality.*").collect()
     for r in got:
