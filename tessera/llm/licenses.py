@@ -10,6 +10,12 @@ Words outside all templates cannot add to an overlap, so blocks are cut down to
 
 Fixed phrases are found on top: places where their words stand consecutively in the document.
 
+A template may be met without the word that names its licence.  ``op4_license_scan`` gives what meets, as its
+SQL does; ``op4_license_names`` gives what is confirmed: a template whose naming words (NAMES) are in the block
+as well, in one run of words of its family, where no longer name of the family is in that run (so the run
+"cc by nc" is no "cc by").  For that, blocks are lines and also stretches of the document over line breaks of as
+many words as the template has, divided by the threshold: a hard-wrapped sentence is found.
+
 Results of odd input: null and empty texts have no words, labels or places and a score of 0; a text
 without line breaks is one block, whatever its length; repeated rows give equal rows; further
 columns are ignored; an empty table gives an empty result.
@@ -51,6 +57,16 @@ TEMPLATES = (
 )
 
 
+# The words that name a licence; templates without them are met by their wording alone.  Labels of one family can hold one another.
+NAMES = {"gpl": "gnu", "apache": "apache", "mpl": "mozilla", "cc-by": "cc by", "cc-by-nc": "cc by nc", "cc-by-sa": "cc by sa", "public-domain": "public domain"}
+FAMILIES = (("cc-by", "cc-by-nc", "cc-by-sa"),)
+
+
+def naming_words(template: str, label: str) -> frozenset[str]:
+    """The naming words of a template; the two texts of MIT differ in having one."""
+    return frozenset(["mit"]) if label == "mit" and "mit" in template.split() else frozenset(NAMES.get(label, "").split())
+
+
 def word_hashes(words: Sequence[str]) -> np.ndarray:
     return Words(pa.array([" ".join(words)]), ALNUM).hash
 
@@ -66,6 +82,11 @@ class Templates:
         number = {w: k for k, w in enumerate(self.vocabulary)}
         self.sets = [frozenset(number[w] for w in t.split()) for t, _ in templates]
         self.labels = [label for _, label in templates]
+        self.names = [frozenset(number[w] for w in naming_words(t, label)) for t, label in templates]
+        self.length = [len(t.split()) for t, _ in templates]
+        self.reach = [math.ceil(n / threshold - 1e-9) for n in self.length]
+        self.rivals = [[u for u in range(len(templates)) if self.names[t] < self.names[u] and any(self.labels[t] in f and self.labels[u] in f for f in FAMILIES)] for t in range(len(templates))]
+        self.family = [frozenset().union(*(self.names[u] for u in range(len(templates)) if u == t or any(self.labels[t] in f and self.labels[u] in f for f in FAMILIES))) for t in range(len(templates))]
         self.needed = [math.ceil(threshold * len(s) - 1e-9) for s in self.sets]
         self.rank_by({})
 
@@ -78,8 +99,7 @@ class Templates:
         for t, (words, need) in enumerate(zip(self.ordered, self.needed, strict=True)):
             for place, r in enumerate(words[: len(words) - need + 1]):
                 self.index.setdefault(r, []).append((t, place))
-        self.in_prefix = np.zeros(len(ranked), bool)
-        self.in_prefix[list(self.index)] = True
+        self.in_prefix = np.isin(self.rank, list(self.index))  # by vocabulary number
         return self
 
     def codes(self, hashes: np.ndarray) -> np.ndarray:
@@ -104,6 +124,51 @@ class Templates:
         return out
 
 
+    def named(self, t: int, block: list[int]) -> bool:
+        """Whether a block, its words in order (-1 outside all templates), names template t itself and not only a longer name."""
+        name = self.names[t]
+        if not name:
+            return True
+        if len(name) == 1:
+            return not name.isdisjoint(block)
+        run: set[int] = set()
+        for c in [*block, -1]:
+            if c in self.family[t]:
+                if c not in run:
+                    run.add(c)
+                    continue
+            if name <= run and not any(self.names[u] <= run for u in self.rivals[t]):
+                return True
+            run = {c} if c in self.family[t] else set()
+        return False
+
+    def confirmed(self, code: np.ndarray, line: np.ndarray) -> dict[int, float]:
+        """Of one document's words: the templates that a block confirms, and their best containment."""
+        best: dict[int, float] = {}
+        prefix = np.flatnonzero((code >= 0) & self.in_prefix[code])
+        for x in np.unique(line[prefix]):
+            a, e = np.searchsorted(line, [x, x + 1])
+            block = code[a:e].tolist()
+            for t, share in self.matches(np.unique(self.rank[[c for c in block if c >= 0]]).tolist()):
+                if share > best.get(t, 0) and self.named(t, block):
+                    best[t] = share
+        done = {t: -1 for t in range(len(self.sets))}
+        for i in prefix:
+            for t, _ in self.index[int(self.rank[code[i]])]:
+                reach, need = self.reach[t], self.needed[t]
+                low, high = max(0, i - reach + 1, done[t] + 1), min(len(code), i + reach)
+                if line[low : low + 1].tolist() == line[high - 1 : high].tolist() or len(self.sets[t].intersection(code[max(0, i - reach + 1) : high].tolist())) < need:
+                    continue
+                for start in range(low, i + 1):  # every stretch that holds this word and was not looked at yet
+                    block = code[start : start + reach].tolist()
+                    shared, beyond = self.sets[t].intersection(block), len(self.family[t])
+                    # a name that goes on past the end of the stretch is read to its end
+                    if len(shared) >= need and len(shared) / len(self.sets[t]) > best.get(t, 0) and self.names[t] <= shared and self.named(t, code[max(0, start - beyond) : start + reach + beyond].tolist()):
+                        best[t] = len(shared) / len(self.sets[t])
+                done[t] = i
+        return best
+
+
 def _lines(w: Words) -> np.ndarray:
     """A number for the line of each word, rising through the texts."""
     breaks = np.flatnonzero(w.data == 0x0A)
@@ -198,11 +263,36 @@ def _scan(part: pa.RecordBatch, known: Templates, phrases: list[tuple[np.ndarray
     )
 
 
+def confirm(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """One row a document: the labels of the templates that a block meets and names, and the best containment among them."""
+    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    known = Templates(templates, threshold)
+    known.rank_by(block_counts(src, known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, e in portions(batch.column("text")):
+                part = batch.slice(a, e - a)
+                w = Words(part.column("text"), ALNUM, lower=True)
+                code, line = known.codes(w.hash), _lines(w)
+                found = [known.confirmed(code[x:y], line[x:y]) for x, y in zip(w.first[:-1], w.first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(w.count.astype(np.int64)), pa.array([",".join(sorted({known.labels[t] for t in f})) for f in found]), pa.array([max(f.values(), default=0.0) for f in found], pa.float64())],
+                    names=["doc_id", "n_words", "labels", "score"],
+                )
+
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_words long, labels string, score double")
+
+
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return scan(docs).drop("hits")
 
 
+def op4_license_names(spark, sf_dir: str) -> DataFrame:
+    return confirm(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def _oracle() -> str:
     phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in PHRASES)
     templates = ", ".join(f"({sorted(set(t.split()))!r}, {Templates([(t, label)], THRESHOLD).needed[0]}, '{label}')" for t, label in TEMPLATES)

@@ -9,6 +9,7 @@ QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_substring_dedup": substring.op3_substring_dedup,
     "op4_license_scan": licenses.op4_license_scan,
+    "op4_license_names": licenses.op4_license_names,
     "op5_nearest_neighbours": forest.op5_nearest_neighbours,
     "op6_minhash_near_dedup": near.op6_minhash_near_dedup,
     "op7_toxicity": toxicity.op7_toxicity,

@@ -175,6 +175,31 @@ def test_license_scan(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_license_prefix_mask_is_by_vocabulary_number():
+    known = licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD).rank_by({0: 5, 3: 9, 7: 1})
+    assert all(known.in_prefix[k] == (int(known.rank[k]) in known.index) for k in range(len(known.vocabulary)))
+
+
+def test_license_names_are_confirmed(spark, empty):
+    cases = [
+        ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+        ("Licensed under CC BY 4.0.", "cc-by"),
+        ("Licensed under CC BY 4.0 or under CC BY-NC 4.0", "cc-by,cc-by-nc"),
+        ("released under the license", ""),
+        ("released under\nthe MIT\nlicense", "mit"),
+        ("some text\nLicensed under the\nApache License,\nVersion 2.0 and more text", "apache"),
+        ("Licensed under\nCC BY-NC 4.0", "cc-by-nc"),
+        ("Licensed under CC\nBY 4.0", "cc-by"),
+        ("licensed under\n" + "word " * 40 + "\ncc by sa 4 0", ""),
+        ("Permission is hereby granted, free of charge,\nto any person obtaining a copy of\nthis software", "mit"),
+        (None, ""),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.confirm(docs).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+    assert licenses.confirm(empty).count() == 0
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(3)
     vectors = rng.standard_normal((600, 16)).astype(np.float32)
