@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+import tempfile
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.operator import OPERATORS
 
+#: The reference's cap on passes; a scan that reaches it warns.
+MOST = 250
+
 
-def cyclic_events(spark: SparkSession, sites: DataFrame, most: int = 3, alpha: float = 0.05) -> DataFrame:
-    """Events in the order of their acceptance; each pass scans the alignment without the tracts accepted so far.
+def cyclic_events(spark: SparkSession, sites: DataFrame, most: int = MOST, alpha: float = 0.05) -> DataFrame:
+    """Events in the order of their acceptance, until none is at or under ``alpha``; each pass scans the alignment without the tracts accepted so far.
 
-    One row a pass reaches the driver: the event that the next pass erases."""
+    One row a pass reaches the driver: the event that the next pass erases.  Each pass starts from a checkpoint of the sites."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    sites = sites.checkpoint()
     taken: list[tuple] = []
-    for k in range(most):
+    while True:
         found = OPERATORS["three_seq_siegmund"].run(spark, sites=sites)
         best = found.where(F.col("p") <= alpha).orderBy("p", F.desc("descent"), "event_id").limit(1).collect()
         if not best:
             break
+        if len(taken) == most:
+            warnings.warn(f"cyclic_events stopped at its cap of {most} passes with significant events left", RuntimeWarning, stacklevel=2)
+            break
         e = best[0]
-        taken.append((k + 1, e.event_id, e.recombinant, e.major, e.minor, e.tract_start, e.tract_end, e.p))
+        taken.append((len(taken) + 1, e.event_id, e.recombinant, e.major, e.minor, e.tract_start, e.tract_end, e.p))
         inside = (F.col("seq_id") == e.recombinant) & (F.col("site") >= e.tract_start) & (F.col("site") < e.tract_end)
-        sites = sites.withColumn("base", F.when(inside, F.lit(4)).otherwise(F.col("base")).cast("int"))
+        sites = sites.withColumn("base", F.when(inside, F.lit(4)).otherwise(F.col("base")).cast("int")).checkpoint()
     return spark.createDataFrame(taken, "pass int, event_id string, recombinant long, major long, minor long, tract_start int, tract_end int, p double")

@@ -112,6 +112,21 @@ def test_cyclic_erases_what_it_took(spark):
     assert all(r.event_id != got[0].event_id or r.tract_start != got[0].tract_start for r in got[1:])
 
 
+def test_cyclic_goes_on_to_the_fix_point_or_warns(spark):
+    from tessera.plans.cyclic import cyclic_events
+
+    rng = np.random.default_rng(3)
+    m = np.where(rng.random((4, 900)) < 0.5, rng.integers(0, 4, (4, 900)), rng.integers(0, 4, 900))
+    m[0] = m[1]
+    for a in (60, 240, 420, 600, 780):
+        m[0, a : a + 60] = m[2, a : a + 60]
+    sites = spark.createDataFrame([(i, s, int(m[i, s])) for i in range(4) for s in range(900)], "seq_id long, site int, base int")
+    got = cyclic_events(spark, sites, alpha=1e-6).orderBy("pass").collect()
+    assert len(got) > 3 and [r["pass"] for r in got] == list(range(1, len(got) + 1))
+    with pytest.warns(RuntimeWarning, match="cap of 1"):
+        assert cyclic_events(spark, sites, most=1, alpha=1e-6).count() == 1
+
+
 def test_incremental_pairs(spark, tmp_path):
     from tessera.streaming import incremental
 
