@@ -208,6 +208,13 @@ def hidden_states(informative: DataFrame, switch: float = 0.01, rounds: int = 8)
     return spread(informative, "a", "b", "c").groupBy("a", "b", "c").applyInPandas(run, "a long, b long, c long, state int, start int, end int, sites int")
 
 
+def window_starts(low: int, high: int, width: int, step: int) -> list[int]:
+    """Starts of the windows over sites from low to below high: every step, and a last one that ends with the sites if the steps stop short."""
+    last = max(low, high - width)
+    starts = list(range(low, last + 1, step))
+    return starts if starts[-1] == last else [*starts, last]
+
+
 def bootscan_support(columns: DataFrame, width: int = 100, step: int = 20, replicates: int = 100) -> DataFrame:
     """Bootstrap votes for the closest pair of each triplet in sliding windows; a tie for the best votes for none."""
 
@@ -216,7 +223,7 @@ def bootscan_support(columns: DataFrame, width: int = 100, step: int = 20, repli
         site, category, out = rows.site.to_numpy(), rows.category.to_numpy(), []
         low, high = int(site.min()), int(site.max()) + 1
         hit = np.stack([(category == k) for k in range(3)]).astype(float)
-        for start in range(low, max(low + 1, high - width + 1), step):
+        for start in window_starts(low, high, width, step):
             a, e = np.searchsorted(site, [start, start + width])
             if e - a < 5:
                 continue
@@ -230,7 +237,7 @@ def bootscan_support(columns: DataFrame, width: int = 100, step: int = 20, repli
     return spread(columns, "a", "b", "c").groupBy("a", "b", "c").applyInPandas(run, "a long, b long, c long, start int, support_0 double, support_1 double, support_2 double")
 
 
-def window_z(columns: DataFrame, width: int = 100, step: int = 40, permutations: int = 100) -> DataFrame:
+def window_z(columns: DataFrame, width: int = 100, step: int = 20, permutations: int = 1000) -> DataFrame:
     """How far each pair's agreement in a window is from that of permuted columns, in standard deviations."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -239,7 +246,7 @@ def window_z(columns: DataFrame, width: int = 100, step: int = 40, permutations:
         low, high = int(site.min()), int(site.max()) + 1
         share = np.array([(category == k).mean() for k in range(3)])
         share = np.append(share, max(0.0, 1 - share.sum()))
-        for start in range(low, max(low + 1, high - width + 1), step):
+        for start in window_starts(low, high, width, step):
             a, e = np.searchsorted(site, [start, start + width])
             null = np.random.default_rng([SEED, start]).multinomial(e - a, share / share.sum(), permutations)[:, :3]
             seen = np.array([(category[a:e] == k).sum() for k in range(3)])

@@ -104,6 +104,15 @@ def test_fragments_and_bootscan_find_the_tract(spark):
     assert all(r.support_1 > 0.9 for r in votes if 120 <= r.start and r.start + 60 <= 200)
 
 
+def test_windows_reach_the_last_site(spark):
+    columns = spark.createDataFrame([(0, 1, 2, k, 1 if k >= 335 else 3) for k in range(358)], "a long, b long, c long, site int, category int")
+    for kernel in (kernels.window_z, kernels.bootscan_support):
+        starts = sorted(r.start for r in kernel(columns).collect())
+        assert starts[-1] + 100 == 358 and all(y - x <= 20 for x, y in zip(starts, starts[1:]))
+    assert max(r.z_1 for r in kernels.window_z(columns).collect()) > 3
+    assert kernels.window_starts(0, 30, 100, 20) == [0] and kernels.window_starts(0, 140, 100, 20) == [0, 20, 40]
+
+
 def test_cyclic_erases_what_it_took(spark):
     from tessera.plans.cyclic import cyclic_events
 
