@@ -1,6 +1,7 @@
-"""Operator 3: substring deduplication by relative Lempel-Ziv factors.
+"""Operator 3: substring deduplication by looking up windows of words.
 
-Every block of documents is parsed against the passages of all other blocks.  The reference index is
+This stands in for relative Lempel-Ziv parsing: a repeat has no reference block, position or length.
+Every block of documents is looked up in the passages of all other blocks.  The reference index is
 spread over buckets of the hash space and built in two steps:
 
 1. Sieve.  Each window of ``window`` words has one anchor, its smallest hash among the ``ANCHOR``-word
@@ -9,8 +10,8 @@ spread over buckets of the hash space and built in two steps:
 2. Index.  The windows left over go to the bucket of their hash with the smallest document of the
    block that holds them; the bucket answers which of them start in a smaller document elsewhere.
 
-Then each document is factored greedily from left to right: a factor starts at a word whose window is in
-the reference of a smaller document and runs on as long as the next window is too.  A factor of k
+Then neighbouring windows that are in smaller documents, not always in one and the same, are merged from
+left to right; such a stretch is called a factor here.  A factor of k consecutive
 windows is window + k - 1 words, hence never shorter than ``window``.  Where a factor ends, the windows
 that straddle its end have been looked up on their own, so no repeat is lost at factor boundaries.
 
