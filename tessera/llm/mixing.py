@@ -7,16 +7,17 @@ is the water level of the sources sorted by cap / weight, found with one window
 table of sources (one row a source, never one row a document).
 
 A source with the target r * size takes every document floor(r) times and a seeded choice of its
-documents once more: documents in the order of a seeded hash, until the running size reaches the
-fraction that is left; so the sum misses the target by less than one document.  The running
+documents once more: documents in the order of a seeded hash of their columns, until the running size reaches the
+fraction that is left; so the sum misses the target by less than one document.  Rows equal in all columns have one
+hash; where the quota ends among them, as many as come nearest to it are taken, by a rank that runs through
+the partitions of their written copy.  The running
 size is not one long window: documents are dealt into buckets of the hash, bucket totals are summed
 first, and only the one bucket of a source that the target falls into is ordered row by row.
 All of it is DataFrame work; a source with a third of all rows is spread over all its buckets.
 
 Results of odd input: a null text has size 0 and is taken 0 words; the null source is a source of its
-own; repeated rows are documents of their own, told apart by a rank among equal ids only where it
-decides (ties of the hash stay in or out together); an empty table gives an empty result; other
-input columns are carried by ``mix`` whatever their names.
+own; repeated rows are documents of their own, told apart by that rank; an empty table gives an empty
+result; other input columns are carried by ``mix`` whatever their names.
 """
 
 from __future__ import annotations
@@ -59,7 +60,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, total:
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, total: float = TOTAL, most_epochs: float = MOST_EPOCHS, seed: int = SEED) -> DataFrame:
     """One row a document: doc (a struct of all its columns), size, source_size, target, and copies (whole repetitions taken)."""
-    sized = docs.select(F.struct("*").alias("doc"), F.col(source).alias("source"), word_count(text).alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.xxhash64(F.col(text))).alias("u"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (doc_id, text) and "map<" not in docs.schema[c].dataType.simpleString()]
+    sized = docs.select(F.struct("*").alias("doc"), F.col(source).alias("source"), word_count(text).alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.xxhash64(F.col(text)), *others).alias("u"))
     slim = blocks.cut_lineage(sized.select("source", "size", "u"))
     targets = blocks.cut_lineage(source_targets(slim, weights, total, most_epochs))
     n_sources, largest = targets.agg(F.count(F.lit(1)), F.max("source_rows")).first()
@@ -75,21 +77,34 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     split = starts.where((F.col("before") < F.col("left")) & (F.col("before") + F.col("size") >= F.col("left")))
     # inside the bucket where the quota ends: rows in hash order, rows of one hash together
     at = slim.withColumn("bucket", bucket).alias("r").join(split.select(F.col("source").alias("s_source"), F.col("bucket").alias("s_bucket"), "before", "left"), F.expr("r.source <=> s_source and r.bucket = s_bucket"))
-    ordered = at.groupBy("r.source", "u", "before", "left").agg(F.sum("r.size").alias("size"))
-    upto = Window.partitionBy("source").orderBy("u").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    miss = F.abs(F.col("before") + F.sum("size").over(upto) - F.col("left"))
-    cut = ordered.withColumn("miss", miss).groupBy("source").agg(F.min_by("u", F.struct("miss", "u")).alias("last_u"), F.min("miss").alias("miss"), F.first("left").alias("left"), F.first("before").alias("before"), F.min("u").alias("first_u"))
-    # nothing of the bucket, if that misses the quota by less
-    cut = cut.select(F.col("source").alias("c_source"), F.when(F.col("left") - F.col("before") <= F.col("miss"), F.col("first_u") - 1).otherwise(F.col("last_u")).alias("last_u"))
-    plan = quota.join(cut, quota["source"].eqNullSafe(cut["c_source"]), "left").select(F.col("source").alias("q_source"), "source_size", "target", "whole", F.coalesce("last_u", F.lit(-(2**63))).alias("last_u"))
+    ordered = at.groupBy("r.source", "u", "before", "left").agg(F.sum("r.size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    above = Window.partitionBy("source").orderBy("u").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = ordered.withColumn("missing", F.col("left") - F.col("before") - F.coalesce(F.sum("size").over(above), F.lit(0)))
+    # the hash at which the quota ends; of its rows, as many as come nearest to it
+    cut = ordered.where("missing > 0 and missing <= size").select(F.col("source").alias("c_source"), F.col("u").alias("last_u"), "rows", F.round(F.col("missing") * F.col("rows") / F.col("size")).cast("long").alias("last_rows"))
+    plan = quota.join(cut, quota["source"].eqNullSafe(cut["c_source"]), "left").select(F.col("source").alias("q_source"), "source_size", "target", "whole", "last_u", "last_rows", (F.col("last_rows").between(1, F.col("rows") - 1)).alias("some"))
+    plan = blocks.cut_lineage(plan)
     joined = sized.join(few(plan), sized["source"].eqNullSafe(plan["q_source"]), "left")
-    extra = (F.col("u") <= F.col("last_u")) & (F.col("last_u") > F.lit(-(2**63)))
-    copies = F.least(F.col("whole") + extra.cast("long"), F.lit(math.floor(most_epochs)))
-    return joined.select("doc", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(F.least(F.lit(1), copies)).cast("int").alias("copies"))
+    last = F.coalesce(F.col("u") == F.col("last_u"), F.lit(False))
+    chosen = joined.withColumn("extra", F.coalesce(F.col("u") < F.col("last_u"), F.lit(False)) | (last & (F.col("last_rows") > 0)))
+    if plan.where("some").take(1):  # equal rows of which only some are taken once more
+        split_here = last & F.col("some")
+        ranked = _ranked(chosen.where(split_here)).withColumn("extra", F.col("rank") <= F.col("last_rows")).drop("rank")
+        chosen = chosen.where(~split_here | ~F.col("some")).unionByName(ranked)
+    copies = F.least(F.col("whole") + F.col("extra").cast("long"), F.lit(math.floor(most_epochs)))
+    return chosen.select("doc", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(F.least(F.lit(1), copies)).cast("int").alias("copies"))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Rows numbered from 1 within their source; numbers run through the partitions of a written copy, so no task holds a whole source."""
+    written = blocks.cut_lineage(rows.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}))
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = written.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select(F.col("source").alias("p_source"), F.col("part").alias("p_part"), "earlier")
+    within = F.row_number().over(Window.partitionBy("source", "part").orderBy("place"))
+    numbered = written.withColumn("within", within).join(parts, written["source"].eqNullSafe(F.col("p_source")) & (F.col("part") == F.col("p_part")))
+    return numbered.withColumn("rank", F.col("within") + F.col("earlier")).drop("within", "earlier", "p_source", "p_part", "part", "place")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mix(docs).select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
-
-

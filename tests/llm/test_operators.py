@@ -323,6 +323,18 @@ def test_mix_against_water_filling(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_mix_takes_some_of_equal_rows(spark, partitions):
+    """A thousand equal rows of ten words: the target is met to half a document, not by all or none of them."""
+    schema = "doc_id long, text string, source string, u long, size string"
+    rows = [(5, "ten words " * 5, "a", 1, "x")] * 1000 + [(k, "w " * 70, "b", 1, "x") for k in range(100, 103)] + [(9, None, None, 1, "x")] * 20
+    got = mixing.mix(spark.createDataFrame(rows, schema).repartition(partitions)).selectExpr("doc.source", "doc.u", "size", "target", "copies").collect()
+    for source in ("a", "b"):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r["size"] * r.copies for r in own) - own[0].target) <= own[0]["size"] / 2 and all(r.copies in (1, 2) for r in own)
+    assert len(got) == len(rows) and {r.copies for r in got if r.source is None} == {0}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><a href=x>Home</a></header><nav><ul><li><a href=a>Menu one</a></ul></nav>
 <div class="cookie-notice">We use cookies on this site to make it work for you and for others.</div><article><h1>Title &amp; more</h1><p>First <b>bold
 paragraph</b> with&nbsp;text that says something at some length about a topic.<p>Second&lt;x&gt; paragraph<br>goes on here for quite a while.<div class="ad">Buy now</div>
