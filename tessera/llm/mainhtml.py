@@ -3,12 +3,17 @@
 A page is cut into text blocks at its block-level tags.  A linear classifier scores each block from its
 element, its ancestors (names, class and id words), link density and length; the score gives the costs of
 the labels "content" and "boilerplate" as terminal capacities.  Blocks next to one another and blocks
-under one parent are joined by smoothness edges, weaker the further apart they are in the tree.  The
-maximum flow separates the two labels at least cost; blocks on the content side are the text.
-Pages are independent: Spark spreads them over tasks and each is labelled inside one.
+under one parent are joined by smoothness edges, weaker the further apart they are in the tree and where one
+is in an article and the other is not.  The maximum flow separates the two labels at least cost; blocks on the
+content side are the text.  Elements that say what they are (an article, a menu, an advert) weigh more than
+the edges; where a page has no such elements, edges decide on short and on linked blocks by what is around them.
+Pages are independent: Spark spreads them over tasks and each is labelled inside one, in time linear in
+the page but for the flow.
 
-Results of odd input: a null or empty page has an empty text; unclosed, stray and malformed tags
-end with the page; pages of any length are read whole; repeated rows give equal rows; further input
+Form controls (button, select, textarea) count as forms; noscript, iframe, noframes and template contents are never shown.
+
+Results of odd input: a null or empty page has an empty text; a tag, comment or quoted value that is not closed
+goes on to the end of the page, an element that is not closed ends with its parent, stray end tags only end blocks; pages of any length are read whole; repeated rows give equal rows; further input
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -16,7 +21,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,13 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # HTML element names and the words that sites use in class and id attributes.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mover mroot mrow ms msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover nobr object q rp rt ruby s samp semantics small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select button xmp noframes".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select button noframes".split())
 P_CLOSERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT_WORDS = frozenset("article articlebody blog body content entry hentry main maincontent post posttext story text".split())
-BOILER_WORDS = frozenset("ad ads adsense advert advertisement advertising adverts banner breadcrumb breadcrumbs byline caption captcha comment comments commentlist consent cookie cookies copyright dialog disclaimer discussion disqus feedback footer form gdpr hidden login masthead menu meta modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion reader recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar widget widgets".split())
+BOILER_WORDS = frozenset("ad ads adsense advert advertisement advertising adverts banner breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies copyright dialog discussion disqus feedback footer form gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
+
+
+# Words that parts of articles have as well.
+VAGUE_WORDS = frozenset("byline caption disclaimer meta reader tags toc".split())
 
 
 @dataclass(frozen=True)
@@ -44,22 +53,27 @@ class Costs:
     article: float = 3.0
     content_word: float = 2.0
     boiler_element: float = -6.0
-    boiler_word: float = -5.0
+    boiler_word: float = -7.0
+    vague_word: float = -1.5
     page_header: float = -4.0
     outside_article: float = -4.0
-    paragraph: float = 1.0
-    heading: float = 1.0
+    paragraph: float = 0.5
+    heading: float = 0.5
     list_item: float = -0.3
     link_share: float = -4.0
     words_per_point: float = 30.0
     most_length: float = 1.5
-    adjacency: float = 0.4
-    siblings: float = 0.2
+    adjacency: float = 1.5
+    siblings: float = 0.6
+    across: float = 0.2
 
 
 BOILER_ELEMENTS = frozenset("nav aside footer form menu dialog fieldset".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S)
-_ATTR = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# A tag goes on to its bracket or the end of the page; quotes count after an equals sign only.  Every branch takes what it has read, so a page is read once.
+_TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^>=]|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?)*+)>?|<[!?/][^>]*+>?|[^<]+|<", re.S)
+_ATTR = re.compile(r"([a-zA-Z][\w:-]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s\"'>]++)))?")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in RAW | {"xmp"}}
+_HEAD_END = re.compile(r"</head\s*+>|<body\b", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -77,6 +91,8 @@ def _element(tag: str, attributes: str, in_article: bool, costs: Costs) -> tuple
         article = article or role in ("main", "article")
         words = {w.lower() for key in ("class", "id") for w in _WORD.findall(got.get(key, ""))} | {w for key in ("class", "id") for w in got.get(key, "").lower().split()}
         boiler = words & BOILER_WORDS
+        if words & VAGUE_WORDS and not boiler:
+            score += costs.vague_word
         if boiler or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"):
             score += costs.boiler_word
         elif "header" in words and not in_article:
@@ -104,7 +120,9 @@ def blocks_of(html: str, costs: Costs) -> list[Block]:
     out: list[Block] = []
     # of each open block-level element: tag, region score, in article, number
     stack: list[tuple[str, float, bool, int]] = [("", 0.0, False, 0)]
+    opened: Counter[str] = Counter()
     text: list[str] = []
+    head_seen = False
     made, linked, links, at = 0, 0, 0, 0
 
     def close_block() -> None:
@@ -117,6 +135,11 @@ def blocks_of(html: str, costs: Costs) -> list[Block]:
                 out.append(Block(joined, tag, region, article, stack[-2][3] if len(stack) > 1 else number, len(stack), linked))
         linked = 0
 
+    def leave() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
     n = len(html)
     while at < n:
         m = _TOKEN.match(html, at)
@@ -136,26 +159,30 @@ def blocks_of(html: str, costs: Costs) -> list[Block]:
             if tag in INLINE:
                 links -= tag == "a" and links > 0
             else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        close_block()
-                        del stack[k:]
-                        links = 0
-                        break
-                else:
-                    close_block()
+                close_block()
+                if opened[tag]:
+                    links = 0
+                    while leave() != tag:
+                        pass
             continue
         if tag == "br":
             text.append(" ")
             continue
-        if tag in RAW or tag == "head":
-            end = re.compile(rf"</{tag}\s*>" if tag != "head" else r"</head\s*>|<body\b", re.I).search(html, at)
+        if tag == "head":
+            end = None if head_seen else _HEAD_END.search(html, at)
+            head_seen = True
             if end:
                 at = end.end() if end[0][1] == "/" else end.start()
-            elif tag != "head":
-                at = n
-            if tag not in ("svg", "math", "button", "select"):
+            close_block()
+            continue
+        if tag in _RAW_END:
+            if tag not in ("svg", "button", "select"):
+                close_block()
+            end = _RAW_END[tag].search(html, at)
+            if tag == "xmp":  # its text is shown as it is
+                text.append(html[at : end.start() if end else n].replace("&", "&amp;"))
                 close_block()
+            at = end.end() if end else n
             continue
         if tag in INLINE:
             links += tag == "a"
@@ -163,14 +190,15 @@ def blocks_of(html: str, costs: Costs) -> list[Block]:
         close_block()
         links = 0
         if tag in P_CLOSERS and stack[-1][0] == "p":
-            stack.pop()
+            leave()
         if tag in ("li", "td", "th", "tr", "dt", "dd", "option") and stack[-1][0] == tag:
-            stack.pop()
+            leave()
         if tag in VOID:
             continue
         _, region, article, _ = stack[-1]
         add, opens = _element(tag, m[3], article, costs)
         made += 1
+        opened[tag] += 1
         stack.append((tag, region + add, article or opens, made))
     close_block()
     return out
@@ -194,9 +222,9 @@ def edges_of(found: list[Block], costs: Costs) -> list[tuple[int, int, float]]:
     for i, b in enumerate(found):
         if i:
             apart = abs(found[i - 1].depth - b.depth) + (0 if found[i - 1].parent == b.parent else 1)
-            out.append((i - 1, i, costs.adjacency / (1 + apart)))
+            out.append((i - 1, i, costs.adjacency / (1 + apart) * (1.0 if found[i - 1].in_article == b.in_article else costs.across)))
         if b.parent in last:
-            out.append((last[b.parent], i, costs.siblings))
+            out.append((last[b.parent], i, costs.siblings * (1.0 if found[last[b.parent]].in_article == b.in_article else costs.across)))
         last[b.parent] = i
     return out
 
