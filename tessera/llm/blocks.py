@@ -9,7 +9,10 @@ answer in the order asked.  Both sides are grouped Arrow functions over Spark sh
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,48 @@ def block_of(doc_id: str, text: str, n: int) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.col(text))), F.lit(n)).cast("int")
 
 
+def packed(dealt: DataFrame) -> DataFrame:
+    """block and rows: the rows of a block, as far as one Arrow batch holds them, in zstd.  Texts are exchanged in this form, at about a third of their size."""
+    schema = _arrow(dealt)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                batch = whole.slice(start, 4096)
+                block = batch.column("block").to_numpy()
+                order = np.argsort(block, kind="stable")
+                named, first = np.unique(block[order], return_index=True)
+                batch = batch.take(pa.array(order)).cast(schema)
+                parts = [press(batch.slice(a, e - a).serialize()) for a, e in zip(first, [*first[1:], len(order)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(named, pa.int32()), pa.array(parts, pa.binary())], names=["block", "rows"])
+
+    return dealt.mapInArrow(run, "block int, rows binary")
+
+
+def unpacked(rows: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The batches of a block; ``schema`` is that of ``packed_schema``."""
+    for part in rows.column("rows"):
+        yield pa.ipc.read_record_batch(pa.py_buffer(unpress(part.as_py())), schema)
+
+
+def _arrow(dealt: DataFrame) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(dealt.schema)
+
+
+packed_schema = _arrow
+
+
+def press(blob: bytes) -> bytes:
+    """A length and the bytes in zstd, whose entropy coding gets at what Spark's block compressor leaves."""
+    return len(blob).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(blob, asbytes=True)
+
+
+def unpress(blob: bytes) -> bytes:
+    return pa.Codec("zstd", 3).decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+
+
 def bucket_count(docs: DataFrame, keys: int) -> int:
     return max(shuffle_partitions(docs), math.ceil(keys / BUCKET_KEYS))
 

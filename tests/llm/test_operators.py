@@ -64,32 +64,33 @@ def test_elias_fano_trie(tmp_path):
     rng = np.random.default_rng(2)
     for n in (0, 1, 7, 5000):
         keys = np.unique(np.minimum(rng.zipf(1.4, n), 2**29).astype(U) << U(26) | rng.integers(0, 2**26, n, dtype=U))
-        counts = rng.integers(1, 100, len(keys))
-        eliasfano.Trie.write(str(tmp_path / f"{n}.trie"), keys, counts, 26)
+        codes = rng.integers(1, 65536, len(keys))
+        eliasfano.Trie.write(str(tmp_path / f"{n}.trie"), keys, codes, 26)
         asked = np.unique(np.concatenate([keys, keys + U(1), rng.integers(0, 2**56, 50, dtype=U)]))
-        want = dict(zip(keys.tolist(), counts.tolist(), strict=True))
-        assert eliasfano.Trie(str(tmp_path / f"{n}.trie"), 26).lookup(asked).tolist() == [want.get(k, 0) for k in asked.tolist()]
-    codes = eliasfano.quantise(np.array([0, 1, 100, 1000, 10**8]))
-    assert np.allclose(eliasfano.CODEBOOK[codes], [0, 1, 100, 1000, 10**8], rtol=0.08)
+        want = dict(zip(keys.tolist(), codes.tolist(), strict=True))
+        trie = eliasfano.Trie(str(tmp_path / f"{n}.trie"), 26)
+        assert trie.lookup(asked).tolist() == [want.get(k, 0) for k in asked.tolist()]
+        assert (trie.successors.get(np.arange(len(keys))) & U(2**26 - 1) == keys & U(2**26 - 1)).all()
+    p = np.array([0, 1, 0.5, 1 / 3, 1e-7, 1e-13])
+    assert np.allclose(eliasfano.probability(eliasfano.quantise(p)), p, rtol=2.6e-4, atol=0)
+    assert eliasfano.probability(np.uint16(65535)) == pytest.approx(1e-14)
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_lm_scores(docs, empty, order):
-    rows = corpus()
+def brute_lm(rows, order):
+    """Each row's id, fold, tokens, known tokens, training tokens, base score and score, from exact counts."""
     tokens = [[*SPACE.findall(lower(r[1] or "")), "\0end"] for r in rows]
     held = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 1 for r in rows]
-    count = [Counter(), Counter(), Counter(), Counter()]
+    count = [Counter() for _ in range(order + 1)]
     for ts, h in zip(tokens, held, strict=True):
         padded = ["\0end"] * (order - 1) + ts
         if not h:
             for k in range(1, order + 1):
                 count[k].update(tuple(padded[i - k + 1 : i + 1]) for i in range(order - 1, len(padded)))
     n, v = sum(count[1].values()), len(count[1])
-    contexts = [Counter(), Counter(), Counter(), Counter()]
+    contexts = [Counter() for _ in range(order + 1)]
     for k in range(2, order + 1):
         for g, c in count[k].items():
             contexts[k][g[:-1]] += c
-    want = Counter()
     for r, ts, h in zip(rows, tokens, held, strict=True):
         padded, base, score = ["\0end"] * (order - 1) + ts, 0.0, 0.0
         for i in range(order - 1, len(padded)):
@@ -97,14 +98,50 @@ def test_lm_scores(docs, empty, order):
             base += math.log10(p)
             for k in range(2, order + 1):
                 g = tuple(padded[i - k + 1 : i + 1])
-                p = (count[k][g] + lm.MU[k] * p) / (max(contexts[k][g[:-1]], count[k][g]) + lm.MU[k])
+                p = (count[k][g] + lm.MU[k] * p) / (contexts[k][g[:-1]] + lm.MU[k])
             score += math.log10(p)
-        want[(r[0], h, len(ts), sum(count[1][(t,)] > 0 for t in ts), n, round(base, 6))] += 1
-    got = lm.score(docs, order=order).collect()
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(math.isfinite(r.score) and r.score <= 0 for r in got)
-    seen = [r for r in got if r.doc_id == 0]
-    assert len(seen) == 1 and lm.score(empty).count() == 0
+        yield r[0], h, len(ts), sum(count[1][(t,)] > 0 for t in ts), n, base, score
+
+
+@pytest.mark.parametrize(("order", "slice_"), [(1, 1 << 16), (2, 1 << 16), (3, 1 << 16), (3, 4), (4, 1)])
+def test_lm_scores(docs, empty, order, slice_):
+    """Exact but for the codes of probabilities, each 0.025 % off at most (1.1e-4 in a token's logarithm); also with contexts cut into slices."""
+    key = lambda r: (r[0] is None, r[0], r[5])
+    want = sorted(brute_lm(corpus(), order), key=key)
+    got = sorted((tuple(r) for r in lm.score(docs, order=order, slice_counts=slice_).collect()), key=key)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    for g, w in zip(got, want, strict=True):
+        assert g[5] == pytest.approx(w[5], abs=1e-9) and g[6] == pytest.approx(w[6], abs=1.1e-4 * (order - 1) * g[2] + 1e-9)
+    assert lm.score(empty, order=order).count() == 0
+
+
+@pytest.mark.parametrize("slice_", [1, 3, 1 << 16])
+def test_lm_blocks_and_buckets_agree_on_slices(slice_):
+    """Two blocks and three buckets by hand: what is told is the brute-force probability of every n-gram of order 2."""
+    texts = [["a b a c a d a b", "a b", "b a"], ["a d a e", "x"]]
+    made = [pa.record_batch({"text": t, "held_out": [False] * len(t)}) for t in texts]
+    told: list[list[list[dict]]] = [[], []]
+    for order in (1, 2):
+        blocks_ = []
+        for k in range(2):
+            tokens = lm._Tokens([made[k]], slice_)
+            tokens.hear(told[k], lm.MU)
+            blocks_.append(list(lm._ask(k, tokens, order, 3)))
+        answers = [a for b in range(3) if any(r["bucket"] == b for rows in blocks_ for r in rows) for a in lm._answer(pa.Table.from_pylist([r for rows in blocks_ for r in rows if r["bucket"] == b], schema=lm._ASKED), order, lm.MU[order])]
+        for k in range(2):
+            told[k].append([a for a in answers if a["block"] == k])
+    rows = [(100 * k + i, t) for k in range(2) for i, t in enumerate(texts[k])]
+    bigrams, contexts = Counter(), Counter()
+    for _, t in rows:
+        padded = ["\0end", *t.split(), "\0end"]
+        bigrams.update(zip(padded, padded[1:]))
+        contexts.update(padded[:-1])
+    for k in range(2):
+        tokens = lm._Tokens([made[k]], slice_)
+        tokens.hear(told[k], lm.MU)
+        want = [bigrams[g] / (contexts[g[0]] + lm.MU[2]) for t in texts[k] for padded in [["\0end", *t.split(), "\0end"]] for g in zip(padded, padded[1:])]
+        assert np.allclose(tokens.terms[0][0], want, rtol=2.6e-4, atol=0)
+        assert tokens.count.tolist() == [bigrams[g] for t in texts[k] for padded in [["\0end", *t.split(), "\0end"]] for g in zip(padded, padded[1:])]
 
 
 def test_lm_default_uses_two_words_of_context(spark):
