@@ -126,6 +126,34 @@ def ngrams(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return mix(out[at]), at
 
 
+def distinct_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the place of each key among them.
+
+    Keys are sorted as plain numbers, by their top bits with their number in the bits below; keys that
+    share all those top bits and come out in the wrong order are then sorted in full."""
+    n = len(keys)
+    low = U((1 << n.bit_length()) - 1)
+    packed = (keys & ~low) | np.arange(n, dtype=U)
+    packed.sort()
+    order = (packed & low).astype(np.int64)
+    ordered = keys[order]
+    wrong = np.flatnonzero(ordered[1:] < ordered[:-1])
+    if len(wrong):
+        top = ordered & ~low
+        shared = np.unique(top[wrong])
+        edge = np.zeros(n + 1, np.int64)
+        edge[np.searchsorted(top, shared)] += 1
+        edge[np.searchsorted(top, shared, "right")] -= 1
+        some = np.flatnonzero(np.cumsum(edge[:-1]))
+        order[some] = order[some][np.argsort(ordered[some], kind="stable")]
+        ordered = keys[order]
+    new = np.ones(n, bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    place = np.empty(n, np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new], place
+
+
 def slice_bounds(sorted_keys: np.ndarray, n: int) -> np.ndarray:
     """n + 1 offsets that cut sorted 64-bit keys into n equal ranges of the key space."""
     cuts = (np.arange(n + 1, dtype=object) * 2**64) // n

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from tessera.llm import blocks
 from tessera.llm.blocks import press, unpress
 from tessera.llm.eliasfano import Trie, probability, quantise
-from tessera.llm.kernel import SPACED, U, Words, mix, pack_sorted, planes, portions, unpack_sorted, unplanes
+from tessera.llm.kernel import SPACED, U, Words, distinct_places, mix, pack_sorted, planes, portions, unpack_sorted, unplanes
 
 ORDER = 3
 MU = (0.0, 0.0, 300.0, 10.0, 4.0, 4.0)
@@ -81,6 +81,8 @@ class _Tokens:
         self.hash, self.row, self.n_rows = np.concatenate(hashes), np.concatenate(rows), done
         self.train = ~np.concatenate(held)[self.row]
         self.starts = np.concatenate([[True], self.row[1:] != self.row[:-1]])
+        first = np.flatnonzero(self.starts) if len(self.hash) else np.zeros(0, np.int64)
+        self.place = np.arange(len(self.hash)) - np.repeat(first, np.diff(np.append(first, len(self.hash))))
         #: Training counts of the n-gram that ends at each token, of the order last told, and its context's.
         self.count = np.zeros(0, np.int64)
         self.context_count = np.zeros(len(self.hash), np.int64)
@@ -89,12 +91,11 @@ class _Tokens:
 
     def _context(self, order: int) -> np.ndarray:
         h, n = self.hash, len(self.hash)
-        place = np.arange(n) - np.searchsorted(self.row, self.row, "left")
         out = np.full(n, U(order))
         for back in range(order - 1, 0, -1):
             before = np.full(n, END)
             before[back:] = h[:-back] if back < n else h[:0]
-            before[place < back] = END
+            before[self.place < back] = END
             out = mix(out * _ODD + before)
         return out
 
@@ -110,7 +111,7 @@ class _Tokens:
 
     def distinct(self, order: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct keys, and the place of each token's key."""
-        return np.unique(self.keys(order), return_inverse=True)
+        return distinct_places(self.keys(order))
 
     def next_order(self) -> None:
         """The count of each token's next longer context: that of the n-gram that ends one token earlier; ends stand before first words."""
@@ -179,23 +180,24 @@ def _answer(asked: pa.Table, order: int, mu: float) -> Iterator[dict]:
     keys = [unpack_sorted(unpress(r["keys"])) for r in rows]
     counts = [unplanes(unpress(r["counts"]), np.uint32).astype(np.int64) for r in rows]
     every, some = np.concatenate(keys), np.concatenate(counts)
-    distinct, inverse = np.unique(every[some > 0], return_inverse=True)
-    total = np.bincount(inverse, weights=some[some > 0], minlength=len(distinct)).astype(np.int64)
+    wanted, place = distinct_places(every)
+    total = np.bincount(place, weights=some, minlength=len(wanted)).astype(np.int64)
     if order == 1:
-        for i, (r, k) in enumerate(zip(rows, keys, strict=True)):
-            at = np.minimum(np.searchsorted(distinct, k), max(0, len(distinct) - 1))
-            found = np.where(distinct[at] == k, total[at], 0) if len(distinct) else np.zeros(len(k), np.int64)
-            yield {"bucket": r["bucket"], "block": r["block"], "told": press(planes(found)), "n": 0 if i else int(total.sum()), "v": 0 if i else len(distinct)}
+        at = 0
+        for r, k in zip(rows, keys, strict=True):
+            found = total[place[at : at + len(k)]]
+            yield {"bucket": r["bucket"], "block": r["block"], "told": press(planes(found)), "n": 0 if at else int(total.sum()), "v": 0 if at else int((total > 0).sum())}
+            at += len(k)
         return
-    context = np.zeros(len(distinct), np.int64)
-    context[inverse] = np.concatenate([_context_counts(k[c > 0], c[c > 0], unplanes(unpress(r["missing"]), np.int64)) for r, k, c in zip(rows, keys, counts, strict=True)])
+    context = np.zeros(len(wanted), np.int64)
+    context[place[some > 0]] = np.concatenate([_context_counts(k[c > 0], c[c > 0], unplanes(unpress(r["missing"]), np.int64)) for r, k, c in zip(rows, keys, counts, strict=True)])
+    stored = total > 0
     drop = U(64 - KEY_BITS)
     handle, path = tempfile.mkstemp(suffix=".trie")
     os.close(handle)
     try:
-        Trie.write(path, distinct >> drop, quantise(np.minimum(1.0, total / (context + mu))), SUCCESSOR_BITS)
-        wanted, inverse = np.unique(every, return_inverse=True)
-        codes, at = Trie(path, SUCCESSOR_BITS).lookup(wanted >> drop)[inverse], 0
+        Trie.write(path, wanted[stored] >> drop, quantise(np.minimum(1.0, total[stored] / (context[stored] + mu))), SUCCESSOR_BITS)
+        codes, at = Trie(path, SUCCESSOR_BITS).lookup(wanted >> drop)[place], 0
         for r, k in zip(rows, keys, strict=True):
             yield {"bucket": r["bucket"], "block": r["block"], "told": press(planes(codes[at : at + len(k)])), "n": 0, "v": 0}
             at += len(k)

@@ -15,7 +15,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from tessera.llm import eliasfano, forest, licenses, lm, mainhtml, mixing, near, pieces, quality, substring, toxicity
-from tessera.llm.kernel import SPACED, U, Words, pack_sorted, planes, unpack_sorted, unplanes
+from tessera.llm.kernel import SPACED, U, Words, distinct_places, pack_sorted, planes, unpack_sorted, unplanes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, `set` string, node string"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,6 +60,14 @@ def test_kernel_words_and_planes():
     assert (unpack_sorted(pack_sorted(x)) == x).all() and (unplanes(planes(x), U) == x).all()
 
 
+def test_distinct_places():
+    rng = np.random.default_rng(4)
+    for keys in (np.zeros(0, U), rng.integers(0, 2**64, 500, dtype=U)[rng.integers(0, 500, 2000)], rng.integers(0, 50, 300, dtype=U), U(2**63) + rng.integers(0, 2**12, 1000, dtype=U)):
+        want, places = np.unique(keys, return_inverse=True)
+        got = distinct_places(keys)
+        assert (got[0] == want).all() and (got[1] == places).all()
+
+
 def test_elias_fano_trie(tmp_path):
     rng = np.random.default_rng(2)
     for n in (0, 1, 7, 5000):
