@@ -1,19 +1,24 @@
-"""Operator 3: substring deduplication by looking up windows of words.
-
-This stands in for relative Lempel-Ziv parsing: a repeat has no reference block, position or length.
-Every block of documents is looked up in the passages of all other blocks.  The reference index is
-spread over buckets of the hash space and built in two steps:
-
-1. Sieve.  Each window of ``window`` words has one anchor, its smallest hash among the ``ANCHOR``-word
-   shingles inside it.  Equal windows have equal anchors, so only windows whose anchor is found in
-   two documents can be repeats.  A block asks each anchor once.
-2. Index.  The windows left over go to the bucket of their hash with the smallest document of the
-   block that holds them; the bucket answers which of them start in a smaller document elsewhere.
-
-Then neighbouring windows that are in smaller documents, not always in one and the same, are merged from
-left to right; such a stretch is called a factor here.  A factor of k consecutive
-windows is window + k - 1 words, hence never shorter than ``window``.  Where a factor ends, the windows
-that straddle its end have been looked up on their own, so no repeat is lost at factor boundaries.
+"""Operator 3: substring deduplication by relative Lempel-Ziv parsing.
+
+Every document is factored against the indexed blocks of all documents.  A factor says: these words are those
+of a reference document from a word on.  The reference of a window of ``window`` words is the smallest document
+that holds it, at its first place there.  Reference blocks are indexed in two steps, spread over buckets
+of the hash space:
+
+1. Sieve.  Each window has one anchor, its smallest hash among the ``ANCHOR``-word shingles inside it.
+   Equal windows have equal anchors, so only windows whose anchor is found in two documents can be
+   repeats.  A block asks each anchor once.
+2. Index.  The windows left over go to the bucket of their hash with the smallest document of the block
+   that holds them and their place in it; the bucket answers with the reference, if that is a document of
+   another block.
+
+A block then parses its documents from left to right: at a window with a smaller reference document it takes the
+longest factor, going on as long as the next window's reference is the next word of the same document.  Where
+a factor ends, the windows that straddle its end have references of their own and start the next factor, which
+may overlap it, so no repeat is lost at factor boundaries.  A factor of k windows is window + k - 1 words, hence
+never shorter than ``window``; factors that overlap or touch form a duplicate span.  As references are the smallest
+documents, a factor also ends where a still smaller document begins to hold the words: it is the longest in the
+references chosen, not over all documents.  Which words are covered does not depend on that.
 
 Windows are compared by 64-bit hashes of word hashes: over n windows two different ones meet with
 probability about n * n / 2**65.
@@ -34,13 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import blocks
-from tessera.llm.kernel import U, Words, ngrams, pack_sorted, planes, portions, slice_bounds, unpack_sorted, unplanes
+from tessera.llm.blocks import press, unpress
+from tessera.llm.kernel import U, Words, distinct_places, ngrams, pack_sorted, planes, portions, slice_bounds, unpack_sorted, unplanes
 
 WINDOW = 13
 ANCHOR = 5
 NO_ID = np.iinfo(np.int64).max
-ASKED = "bucket int, block int, kind int, keys binary, docs binary"
-SPANS = "doc_id long, text string, n_words long, n_removed long, spans array<struct<first:long,last:long,char_start:long,char_end:long>>, kept string"
+ASKED = "bucket int, block int, kind int, keys binary, docs binary, places binary"
+SPANS = "doc_id long, text string, n_words long, n_removed long, spans array<struct<first:long,last:long,char_start:long,char_end:long>>, factors array<struct<first:long,length:long,reference_id:long,reference_first:long>>, kept string"
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -80,6 +86,17 @@ def _least(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[first], np.minimum.reduceat(docs, first), np.maximum.reduceat(docs, first)
 
 
+def _first_of_least(keys: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each distinct key, sorted, with its smallest document and the first place there."""
+    distinct, inverse = distinct_places(keys)
+    least = np.full(len(distinct), NO_ID)
+    np.minimum.at(least, inverse, docs)
+    place = np.full(len(distinct), np.iinfo(np.int32).max, np.int32)
+    own = docs == least[inverse]
+    np.minimum.at(place, inverse[own], places[own])
+    return distinct, least, place
+
+
 def _ids(column: pa.Array) -> np.ndarray:
     return np.asarray(column.fill_null(NO_ID).to_numpy(zero_copy_only=False), np.int64)
 
@@ -104,21 +121,20 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> tup
     return k, least < most
 
 
-def _asked(block: int, kind: int, keys: np.ndarray, rest: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
+def _rows(buckets: list[int], block: int, kind: int, keys: list[bytes], docs: list[bytes], places: list[bytes]) -> pa.RecordBatch:
+    n = len(buckets)
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([block] * n, pa.int32()), pa.array([kind] * n, pa.int32()), *(pa.array(x, pa.binary()) for x in (keys, docs, places))], schema=_ASKED_ARROW)
+
+
+def _asked(block: int, kind: int, keys: np.ndarray, docs: np.ndarray, places: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
     cuts = slice_bounds(keys, n_buckets)
     own = [(b, a, e) for b, (a, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > a]
     if own:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([b for b, _, _ in own], pa.int32()), pa.array([block] * len(own), pa.int32()), pa.array([kind] * len(own), pa.int32()), pa.array([pack_sorted(keys[a:e]) for _, a, e in own], pa.binary()), pa.array([planes(rest[a:e]) for _, a, e in own], pa.binary())],
-            names=["bucket", "block", "kind", "keys", "docs"],
-        )
+        yield _rows([b for b, _, _ in own], block, kind, [press(pack_sorted(keys[a:e])) for _, a, e in own], [press(planes(docs[a:e])) for _, a, e in own], [press(planes(places[a:e])) for _, a, e in own])
 
 
-def _answers(block: int, kind: int, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([b for b, _ in parts], pa.int32()), pa.array([block] * len(parts), pa.int32()), pa.array([kind] * len(parts), pa.int32()), pa.array([x for _, x in parts], pa.binary()), pa.array([b""] * len(parts), pa.binary())],
-        names=["bucket", "block", "kind", "keys", "docs"],
-    )
+def _answers(block: int, kind: int, parts: list[tuple[int, bytes, bytes, bytes]]) -> pa.RecordBatch:
+    return _rows([p[0] for p in parts], block, kind, *([p[k] for p in parts] for k in (1, 2, 3)))
 
 
 def _gather(asked: pa.Table) -> tuple[list[dict], list[dict]]:
@@ -131,40 +147,44 @@ def _sieve_bucket(asked: pa.Table) -> pa.Table:
     """Answers, bit by bit, whether an anchor is in two documents."""
     rows, _ = _gather(asked)
     out = []
-    keys = [unpack_sorted(r["keys"]) for r in rows]
-    many = [np.frombuffer(r["docs"], np.uint8).astype(bool) for r in rows]
-    every = np.concatenate(keys)
-    distinct, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
-    shared = count > 1
+    keys = [unpack_sorted(unpress(r["keys"])) for r in rows]
+    many = [np.frombuffer(unpress(r["docs"]), np.uint8).astype(bool) for r in rows]
+    distinct, inverse = distinct_places(np.concatenate(keys))
+    shared = np.bincount(inverse, minlength=len(distinct)) > 1
     shared[inverse[np.concatenate(many)]] = True
     hit, at = shared[inverse], 0
     for r, k in zip(rows, keys, strict=True):
-        out.append(_answers(r["block"], 2, [(r["bucket"], np.packbits(hit[at : at + len(k)]).tobytes())]))
+        out.append(_answers(r["block"], 2, [(r["bucket"], np.packbits(hit[at : at + len(k)]).tobytes(), b"", b"")]))
         at += len(k)
     return pa.Table.from_batches(out, schema=_ASKED_ARROW)
 
 
 def _index_bucket(asked: pa.Table) -> pa.Table:
-    """Answers, bit by bit, whether a window starts in a document smaller than any of the asking block's own."""
+    """Answers, bit by bit, whether a window starts in a document smaller than any of the asking block's own; and where, for those that do."""
     rows, passed = _gather(asked)
-    out = [_answers(r["block"], 2, [(r["bucket"], r["keys"])]) for r in passed]
+    out = [_answers(r["block"], 2, [(r["bucket"], r["keys"], b"", b"")]) for r in passed]
     if not rows:
         return pa.Table.from_batches(out, schema=_ASKED_ARROW)
-    keys = [unpack_sorted(r["keys"]) for r in rows]
-    docs = [unplanes(r["docs"], np.int64) for r in rows]
-    every, own = np.concatenate(keys), np.concatenate(docs)
-    _, inverse = np.unique(every, return_inverse=True)
-    least = np.full(int(inverse.max()) + 1, NO_ID)
+    keys = [unpack_sorted(unpress(r["keys"])) for r in rows]
+    own = np.concatenate([unplanes(unpress(r["docs"]), np.int64) for r in rows])
+    places = np.concatenate([unplanes(unpress(r["places"]), np.int32) for r in rows])
+    distinct, inverse = distinct_places(np.concatenate(keys))
+    least = np.full(len(distinct), NO_ID)
     np.minimum.at(least, inverse, own)
-    hit, at = least[inverse] < own, 0
+    first = np.zeros(len(distinct), np.int32)
+    holds = least[inverse] == own
+    first[inverse[holds]] = places[holds]
+    hit, at = ~holds, 0
     for r, k in zip(rows, keys, strict=True):
-        out.append(_answers(r["block"], 1, [(r["bucket"], np.packbits(hit[at : at + len(k)]).tobytes())]))
+        part = slice(at, at + len(k))
+        some = inverse[part][hit[part]]
+        out.append(_answers(r["block"], 1, [(r["bucket"], np.packbits(hit[part]).tobytes(), press(planes(least[some])), press(planes(first[some])))]))
         at += len(k)
     return pa.Table.from_batches(out, schema=_ASKED_ARROW)
 
 
 def _told(answers: pa.Table, kind: int, keys: np.ndarray, n_buckets: int) -> np.ndarray:
-    """The answers to the block's sorted keys, put together again from the buckets."""
+    """The bits told of the block's sorted keys, put together again from the buckets."""
     out, cuts = np.zeros(len(keys), bool), slice_bounds(keys, n_buckets)
     for r in answers.to_pylist():
         if r["kind"] == kind:
@@ -173,6 +193,16 @@ def _told(answers: pa.Table, kind: int, keys: np.ndarray, n_buckets: int) -> np.
     return out
 
 
+def _references(answers: pa.Table, keys: np.ndarray, least: np.ndarray, first: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest document of each window and its place there: those told, or the block's own where no other block has a smaller one."""
+    hit = _told(answers, 1, keys, n_buckets)
+    told = sorted((r["bucket"], r["docs"], r["places"]) for r in answers.to_pylist() if r["kind"] == 1)
+    least, first = least.copy(), first.copy()
+    least[hit] = np.concatenate([np.zeros(0, np.int64), *(unplanes(unpress(d), np.int64) for _, d, _ in told)])
+    first[hit] = np.concatenate([np.zeros(0, np.int32), *(unplanes(unpress(p), np.int32) for _, _, p in told)])
+    return least, first
+
+
 def _sieved(keys: np.ndarray, shared: np.ndarray, p: _Parsed, ids: np.ndarray) -> np.ndarray:
     """Which windows stand on a shared anchor and have a document id."""
     left = keys[shared]
@@ -182,41 +212,55 @@ def _sieved(keys: np.ndarray, shared: np.ndarray, p: _Parsed, ids: np.ndarray) -
     return (left[at] == p.anchor) & (ids[p.row] != NO_ID)
 
 
-def _windows(batches: list[pa.RecordBatch], keys: np.ndarray, shared: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    found, docs = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+def _windows(batches: list[pa.RecordBatch], keys: np.ndarray, shared: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found, docs, places = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     for _, _, ids, p in _runs(batches, window, anchor):
         on = _sieved(keys, shared, p, ids)
         found.append(p.hash[on])
         docs.append(ids[p.row[on]])
-    k, least, _ = _least(np.concatenate(found), np.concatenate(docs))
-    return k, least
+        places.append((p.at[on] - p.words.first[p.row[on]]).astype(np.int32))
+    return _first_of_least(np.concatenate(found), np.concatenate(docs), np.concatenate(places))
 
 
-def _factors(repeat_at: np.ndarray, n_words: int, window: int) -> list[tuple[int, int]]:
-    """Greedy factors [first, last) in words from the sorted places of repeated windows; touching ones are one span."""
-    if not len(repeat_at):
+def _factors(at: np.ndarray, reference: np.ndarray, place: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """Factors (first word, words, reference document, its first word) from the sorted places of repeated windows and their references."""
+    if not len(at):
         return []
-    cut = np.flatnonzero(np.diff(repeat_at) > window) + 1
-    first = repeat_at[np.concatenate([[0], cut])]
-    last = repeat_at[np.concatenate([cut - 1, [len(repeat_at) - 1]])] + window
-    return [(int(a), int(min(e, n_words))) for a, e in zip(first, last, strict=True)]
+    goes_on = (np.diff(at) == 1) & (np.diff(reference) == 0) & (np.diff(place) == 1)
+    first = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+    size = np.diff(np.append(first, len(at))) + window - 1
+    return list(zip(at[first].tolist(), size.tolist(), reference[first].tolist(), place[first].tolist(), strict=True))
+
+
+def _covered(factors: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """Spans [first, last) of factors that overlap or touch."""
+    out: list[tuple[int, int]] = []
+    for first, size, _, _ in factors:
+        if out and first <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], first + size)
+        else:
+            out.append((first, first + size))
+    return out
 
 
 def _parse(batches: list[pa.RecordBatch], answers: pa.Table, window: int, anchor: int, n_buckets: int, carry: list[str]) -> Iterator[pa.RecordBatch]:
     anchors, _ = _anchors(batches, window, anchor)
     shared = _told(answers, 2, anchors, n_buckets)
-    keys, least = _windows(batches, anchors, shared, window, anchor)
-    elsewhere = _told(answers, 1, keys, n_buckets)
+    keys, least, first = _windows(batches, anchors, shared, window, anchor)
+    least, first = _references(answers, keys, least, first, n_buckets)
     for part, _, ids, p in _runs(batches, window, anchor):
         on = np.flatnonzero(_sieved(anchors, shared, p, ids))
         at = np.searchsorted(keys, p.hash[on])
-        repeat = on[elsewhere[at] | (least[at] < ids[p.row[on]])]
+        smaller = least[at] < ids[p.row[on]]
+        repeat, at = on[smaller], at[smaller]
         w, rows = p.words, []
         bounds = np.searchsorted(p.row[repeat], np.arange(len(ids) + 1))
         blob = w.raw.tobytes()
         for d, (doc_id, text) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)):
             a, n = int(w.first[d]), int(w.count[d])
-            spans = _factors(p.at[repeat[bounds[d] : bounds[d + 1]]] - a, n, window)
+            own = slice(bounds[d], bounds[d + 1])
+            factors = _factors(p.at[repeat[own]] - a, least[at[own]], first[at[own]], window)
+            spans = _covered(factors)
             cuts = [0, *(x for s in spans for x in s), n]
             kept, out, origin = [], [], int(w.offsets[d])
             for i in range(0, len(cuts), 2):
@@ -224,17 +268,18 @@ def _parse(batches: list[pa.RecordBatch], answers: pa.Table, window: int, anchor
             for f, e in spans:
                 starts, ends = int(w.start[a + f]), int(w.end[a + e - 1])
                 out.append({"first": f, "last": e, "char_start": len(blob[origin:starts].decode()), "char_end": len(blob[origin:ends].decode())})
-            rows.append({"doc_id": doc_id, "text": text, "n_words": n, "n_removed": sum(e - f for f, e in spans), "spans": out, "kept": b" ".join(kept).decode()})
+            told = [{"first": f, "length": k, "reference_id": r, "reference_first": q} for f, k, r, q in factors]
+            rows.append({"doc_id": doc_id, "text": text, "n_words": n, "n_removed": sum(e - f for f, e in spans), "spans": out, "factors": told, "kept": b" ".join(kept).decode()})
         if rows:
             made = pa.RecordBatch.from_pylist(rows, schema=_SPANS_ARROW)
             yield pa.RecordBatch.from_arrays([*made.columns, *(part.column(c) for c in carry)], names=[*made.schema.names, *carry])
 
 
-_SPANS_ARROW = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("char_start", pa.int64()), ("char_end", pa.int64())]))), ("kept", pa.string())])
+_SPANS_ARROW = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("char_start", pa.int64()), ("char_end", pa.int64())]))), ("factors", pa.list_(pa.struct([("first", pa.int64()), ("length", pa.int64()), ("reference_id", pa.int64()), ("reference_first", pa.int64())]))), ("kept", pa.string())])
 
 
 def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, block_bytes: int = blocks.BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row a document: text, n_words, n_removed, the duplicate spans (words and characters, half open), the kept words joined by a space, and the input columns named in carry."""
+    """One row a document: text, n_words, n_removed, the duplicate spans (words and characters, half open), the factors they are made of, the kept words joined by a space, and the input columns named in carry."""
     if not 1 <= anchor <= window:
         raise ValueError("anchor must be between 1 and window")
     n_blocks, size = blocks.block_count(docs, text, block_bytes)
@@ -242,32 +287,33 @@ def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     dealt = docs.select(blocks.block_of(doc_id, text, n_blocks).alias("block"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
     carried = [f"carried_{c}" for c in carry]
 
+    schema = blocks.packed_schema(dealt)
+
     def ask(key, texts):
-        keys, many = _anchors(texts.to_batches(), window, anchor)
-        return pa.Table.from_batches(list(_asked(key[0].as_py(), 0, keys, many.astype(np.uint8), n_buckets)), schema=_ASKED_ARROW)
+        keys, many = _anchors(list(blocks.unpacked(texts, schema)), window, anchor)
+        return pa.Table.from_batches(list(_asked(key[0].as_py(), 0, keys, many.astype(np.uint8), np.zeros(len(keys), np.uint8), n_buckets)), schema=_ASKED_ARROW)
 
     def ask_windows(key, texts, answers):
-        block, batches = key[0].as_py(), texts.to_batches()
+        block, batches = key[0].as_py(), list(blocks.unpacked(texts, schema))
         anchors, _ = _anchors(batches, window, anchor)
         shared = _told(answers, 2, anchors, n_buckets)
-        keys, least = _windows(batches, anchors, shared, window, anchor)
-        told = [(r["bucket"], r["keys"]) for r in answers.to_pylist()]
-        out = [*([_answers(block, 2, told)] if told else []), *_asked(block, 1, keys, least, n_buckets)]
+        told = [(r["bucket"], r["keys"], b"", b"") for r in answers.to_pylist()]
+        out = [*([_answers(block, 2, told)] if told else []), *_asked(block, 1, *_windows(batches, anchors, shared, window, anchor), n_buckets)]
         return pa.Table.from_batches(out, schema=_ASKED_ARROW)
 
     def parse(key, texts, answers):
-        made = list(_parse(texts.to_batches(), answers, window, anchor, n_buckets, carried))
-        return pa.Table.from_batches(made) if made else pa.table({f.name: pa.array([], f.type) for f in [*_SPANS_ARROW, *(texts.schema.field(c) for c in carried)]})
+        made = list(_parse(list(blocks.unpacked(texts, schema)), answers, window, anchor, n_buckets, carried))
+        return pa.Table.from_batches(made) if made else pa.table({f.name: pa.array([], f.type) for f in [*_SPANS_ARROW, *(schema.field(c) for c in carried)]})
 
-    by_block = dealt.groupBy("block")
+    by_block = blocks.packed(dealt).groupBy("block")
     sieve = by_block.applyInArrow(ask, ASKED).groupBy("bucket").applyInArrow(_sieve_bucket, ASKED)
     index = by_block.cogroup(sieve.groupBy("block")).applyInArrow(ask_windows, ASKED).groupBy("bucket").applyInArrow(_index_bucket, ASKED)
-    schema = ", ".join([SPANS, *(f"`carried_{c}` {dealt.schema[f'carried_{c}'].dataType.simpleString()}" for c in carry)])
-    out = by_block.cogroup(index.groupBy("block")).applyInArrow(parse, schema)
+    columns = ", ".join([SPANS, *(f"`carried_{c}` {dealt.schema[f'carried_{c}'].dataType.simpleString()}" for c in carry)])
+    out = by_block.cogroup(index.groupBy("block")).applyInArrow(parse, columns)
     return out.withColumnsRenamed({f"carried_{c}": c for c in carry})
 
 
-_ASKED_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
+_ASKED_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("places", pa.binary())])
 
 
 def remove_spans(spans: DataFrame) -> DataFrame:

@@ -199,9 +199,27 @@ def test_substring_spans(docs, empty, window, anchor):
         assert sum(s.last - s.first for s in r.spans) == r.n_removed
         for s in r.spans:
             assert SPACE.findall(r.text)[s.first : s.last] == SPACE.findall(r.text[s.char_start : s.char_end])
+    texts = {r[0]: SPACE.findall(r[1] or "") for r in corpus()}
+    for r in got:
+        covered = set()
+        for f in r.factors:
+            assert f.reference_id < r.doc_id and f.length >= window
+            assert texts[r.doc_id][f.first : f.first + f.length] == texts[f.reference_id][f.reference_first : f.reference_first + f.length]
+            covered |= set(range(f.first, f.first + f.length))
+        assert len(covered) == r.n_removed
+        assert [f.first for f in r.factors] == sorted(f.first for f in r.factors)
     assert substring.duplicate_spans(empty).count() == 0
 
 
+def test_substring_factors_name_their_reference(spark):
+    """A passage taken from two references is two factors that overlap where the words of both meet."""
+    w = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(w[:30])), (2, "x " + " ".join(w[15:50])), (3, "a b " + " ".join(w[5:45]) + " c"), (4, "y " * 5 + " ".join(w[40:60]))]
+    got = {r.doc_id: r for r in substring.duplicate_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [tuple(f) for f in got[3].factors] == [(2, 25, 1, 5), (15, 27, 2, 4)] and [(s.first, s.last) for s in got[3].spans] == [(2, 42)]
+    assert [tuple(f) for f in got[2].factors] == [(1, 15, 1, 15)] and got[1].factors == [] and got[4].factors == []
+
+
 def test_substring_text_without_spans(docs):
     got = {r.doc_id: r for r in substring.remove_spans(substring.duplicate_spans(docs).where("doc_id in (0, 10)")).collect()}
     assert got[0].text == corpus()[0][1] and SPACE.findall(got[10].text) == SPACE.findall(got[10].kept)
