@@ -278,7 +278,7 @@ def test_nearest_neighbours(spark):
     rows[12] = (12, [1.0] * 4, "x")
     rows.append(rows[20])
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, shard string")
-    got = forest.nearest(table, table.where("vec_id % 50 = 0"), shard_rows=200).collect()
+    got = forest.nearest(table, table.where("vec_id % 50 = 0"), node_rows=20, block_rows=100).collect()
     fine = {i: np.array(v, float) for i, v, _ in rows if v is not None and len(v) == 16 and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)}
     hit = total = 0
     for q in [i for i in fine if i % 50 == 0]:
@@ -298,6 +298,32 @@ def test_nearest_neighbours(spark):
     assert few.count() == 3 and forest.nearest(few, few.where("vec_id = 0")).count() == 2
 
 
+def test_nearest_in_clusters_scores_few_rows(spark):
+    """Clustered vectors with a constant number of candidates: under a tenth of the rows are scored; lone queries ascend to shorter prefixes."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((60, 24))
+    vectors = np.concatenate([centres[rng.integers(0, 60, 2900)] + 0.25 * rng.standard_normal((2900, 24)), rng.standard_normal((100, 24)) - 3])
+    order = rng.permutation(3000)
+    vectors = vectors[order]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = forest.nearest(table, table.where("vec_id % 50 = 0"), trees=16, least=250, scored=True).collect()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 3000, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        hit += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(-s)[:5].tolist()))
+    assert len(got) == 300 and hit >= 0.9 * 300
+    assert np.mean([r.scored for r in got]) < 300
+
+
+def test_nearest_rows_of_one_id_are_one_row(spark):
+    table = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.0, 2.0]), (2, [5.0, 1.0])], "vec_id long, embedding array<double>")
+    for frame in (table, table.repartition(4)):
+        got = forest.nearest(frame, frame.where("vec_id = 0")).collect()
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1.0), (2, pytest.approx(1 / math.sqrt(26)))]
+
+
 def brute_components(rows, width, percent):
     sets = {}
     for doc_id, text in rows:
