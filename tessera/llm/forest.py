@@ -4,7 +4,8 @@ Every row is indexed in each of TREES trees.  A tree's string for a vector is th
 a tree is the array of its strings in order, cut into nodes by their first bits and spread over the cluster, hashes and
 ids only.  A query is sent to the node of its own prefix in every tree; there it descends to its longest matching prefix by
 binary search, and tells how many rows match it to each depth.  All trees then ascend together: a query's
-depth is the greatest at which they hold ``least`` rows in all.  A query that has too few at the depth of a node goes
+depth is the greatest at which they hold ``least`` rows in all, the last step being taken by as many trees only as it
+needs.  A query that has too few at the depth of a node goes
 on in rounds to shorter prefixes, that is to neighbouring nodes.  The rows under its prefixes are its candidates; each
 is scored exactly, in the block of vectors it lies in, and the best of all blocks are merged.
 
@@ -37,7 +38,7 @@ from tessera.llm.kernel import U, mix
 
 TREES = 64
 BITS = 64
-LEAST, GROWTH, FEW = 3.6, 0.76, 400
+LEAST, GROWTH, FEW = 5.2, 0.755, 400
 NODE_ROWS = 1 << 16
 BLOCK_ROWS = 1 << 14
 #: Candidates of a group of queries that one task scores against a block.
@@ -111,7 +112,7 @@ def _strings(vectors: DataFrame, width: int, trees: int, seed: int, depth: int)
 
 
 def _depths(index: DataFrame, asked: DataFrame, depth: int, to: int, least: int, last: bool, groups: int) -> DataFrame:
-    """Of each asked string: query_id and the greatest depth from ``to`` bits on at which all trees hold ``least`` rows; null if none does, or 0 in the last round."""
+    """Of each asked string: query_id, the share of trees that ascend to it, and the greatest depth from ``to`` bits on at which all trees hold ``least`` rows; null if none does, or 0 in the last round."""
 
     def count(own: pa.Table, queries: pa.Table) -> pa.Table:
         q, ids = _unpacked(queries)
@@ -136,10 +137,13 @@ def _depths(index: DataFrame, asked: DataFrame, depth: int, to: int, least: int,
         enough = total >= least
         enough[:, :to] = False
         best = BITS - np.argmax(enough[:, ::-1], axis=1)
-        return pa.table({"query_id": distinct, "depth": pa.array(np.where(enough.any(axis=1), best, 0), pa.int32(), mask=~enough.any(axis=1) & (not last))})
+        # the share of the trees that take the step from best + 1 to best bits
+        here, deeper = (np.take_along_axis(total, np.minimum(best + more, BITS)[:, None], axis=1)[:, 0] for more in (0, 1))
+        share = np.where(best < BITS, (least - deeper) / np.maximum(1, here - deeper), 1.0)
+        return pa.table({"query_id": distinct, "depth": pa.array(np.where(enough.any(axis=1), best, 0), pa.int32(), mask=~enough.any(axis=1) & (not last)), "share": np.where(enough.any(axis=1), share, 1.0)})
 
     counted = index.groupBy("tree", "node", "part").cogroup(asked.groupBy("tree", "node", "part")).applyInArrow(count, "group long, ids binary, held binary")
-    return counted.groupBy("group").applyInArrow(decide, "query_id long, depth int")
+    return counted.groupBy("group").applyInArrow(decide, "query_id long, depth int, share double")
 
 
 def _visits(strings: DataFrame, depth: int, to: int, parts: DataFrame) -> DataFrame:
@@ -209,8 +213,8 @@ def nearest(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embeddi
                 n = len(ids) // 8
                 yield pa.RecordBatch.from_arrays([pa.array([tree] * n, pa.int32()), pa.array([node] * n, pa.int64()), pa.array(np.frombuffer(hashes, np.int64)), pa.array(np.frombuffer(ids, np.int64))], names=["tree", "node", "hash", "query_id"])
 
-    one_each = sent.mapInArrow(split, "tree int, node long, hash long, query_id long").join(found, "query_id")
-    if depth and found.where(F.col("depth") < depth).take(1):
+    one_each = sent.mapInArrow(split, "tree int, node long, hash long, query_id long").join(found, "query_id").withColumn("depth", F.when(F.col("tree") < F.ceil(F.col("share") * trees), F.col("depth")).otherwise(F.col("depth") + 1).cast("int")).drop("share")
+    if depth and found.where(F.col("depth") < depth).take(1):  # prefixes shorter than a node's are in several nodes
         own = F.greatest(F.lit(0), depth - F.col("depth"))
         low = F.expr(f"(node div cast(pow(2, greatest(0, {depth} - depth)) as bigint)) * cast(pow(2, greatest(0, {depth} - depth)) as bigint)")
         one_each = one_each.withColumn("node", F.explode(F.sequence(low, low + F.pow(F.lit(2), own).cast("long") - 1)))
