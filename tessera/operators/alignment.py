@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.functions.statistics import jukes_cantor
+from tessera.functions.statistics import erfc, jukes_cantor
 from tessera.plans.operator import SparkDialect, operator, view
 
 VALID = "base < 4"
@@ -77,7 +77,7 @@ def _(d: SparkDialect) -> str:
 @operator("rotate_sites", "sites")
 def _(d: SparkDialect) -> str:
     """The circular second-origin view: sites moved left by half the length."""
-    return f"""SELECT seq_id, CAST((site - {d.idiv('len', '2')} + len) % len AS INT) AS site, base FROM (SELECT seq_id, site - min(site) OVER () AS site, base, max(site) OVER () - min(site) OVER () + 1 AS len FROM sites) s"""
+    return f"""SELECT seq_id, CAST((site - {d.idiv('len', '2')} + len) % len AS INT) AS site, base FROM (SELECT seq_id, site - low AS site, base, high - low + 1 AS len FROM sites CROSS JOIN (SELECT min(site) AS low, max(site) AS high FROM sites) l) s"""
 
 
 @operator("pair_distance", "pairs")
@@ -162,9 +162,9 @@ def _(d: SparkDialect) -> str:
 
 @operator("identity_profile", "sites")
 def _(d: SparkDialect) -> str:
-    """Identity of every pair in windows of 41 sites, each tenth site."""
+    """Identity of every pair in windows of 41 sites."""
     return """SELECT left_id, right_id, site, round(CAST(same AS DOUBLE) / n, 9) AS identity FROM (SELECT l.seq_id AS left_id, r.seq_id AS right_id, l.site, sum(CASE WHEN l.base = r.base THEN 1 ELSE 0 END) OVER w AS same, count(*) OVER w AS n
-FROM sites l JOIN sites r ON l.site = r.site AND l.seq_id < r.seq_id WHERE l.base < 4 AND r.base < 4 WINDOW w AS (PARTITION BY l.seq_id, r.seq_id ORDER BY l.site ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING)) x WHERE site % 10 = 0"""
+FROM sites l JOIN sites r ON l.site = r.site AND l.seq_id < r.seq_id WHERE l.base < 4 AND r.base < 4 WINDOW w AS (PARTITION BY l.seq_id, r.seq_id ORDER BY l.site ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING)) x"""
 
 
 @operator("local_discordance", "sites")
@@ -190,8 +190,81 @@ def _(d: SparkDialect) -> str:
     return f"SELECT site, CAST(rank AS INT) AS rank FROM {PHI_SITES} p"
 
 
-@operator("phi_statistic", "sites")
+@view("phi_shape", "sites")
 def _(d: SparkDialect) -> str:
-    """Mean pairwise incompatibility of neighbouring informative sites (two classes a site: its smallest state or another), and its mean over all pairs."""
-    two = f"(SELECT s.seq_id, p.rank, CASE WHEN s.base = m.low THEN 0 ELSE 1 END AS allele FROM sites s JOIN {PHI_SITES} p ON s.site = p.site JOIN (SELECT site, min(base) AS low FROM sites WHERE base < 4 GROUP BY site) m ON s.site = m.site WHERE s.base < 4)"
-    return f"""SELECT CAST(k AS INT) AS k, round(avg(CAST(bad AS DOUBLE)), 9) AS mean_all, round(avg(CASE WHEN gap <= k THEN CAST(bad AS DOUBLE) END), 9) AS phi FROM (SELECT a.rank AS ra, b.rank - a.rank AS gap, CASE WHEN count(DISTINCT a.allele * 2 + b.allele) = 4 THEN 1 ELSE 0 END AS bad FROM {two} a JOIN {two} b ON a.seq_id = b.seq_id AND a.rank < b.rank GROUP BY 1, 2) x CROSS JOIN (SELECT 10 AS k) z GROUP BY k"""
+    """How many informative sites there are, and how many neighbours of a site count as near: its share of a window of 100 sites, ten at least."""
+    n, k = "CAST(n AS DOUBLE)", d.round_even("CAST(n AS DOUBLE) / len * 100")
+    fits = f"CASE WHEN greatest(10, {k}) > n THEN {d.round_even(f'{n} / 2')} - 1 ELSE greatest(10, {k}) END"
+    return f"SELECT n, CAST(greatest(1, least({fits}, n - 1)) AS BIGINT) AS k FROM (SELECT (SELECT count(*) FROM {PHI_SITES} p) AS n, (SELECT max(site) + 1 FROM sites) AS len) x"
+
+
+def _merged(source: str) -> str:
+    """Left states of a pair of sites that share a right state take over each other's right states."""
+    return f"SELECT l.ra, l.rb, l.x, max(l.n) AS n, bit_or(r.mask) AS mask FROM {source} l JOIN {source} r ON l.ra = r.ra AND l.rb = r.rb AND (l.mask & r.mask) <> 0 GROUP BY l.ra, l.rb, l.x"
+
+
+@view("phi_edges", "sites")
+def _(d: SparkDialect) -> str:
+    """For each pair of informative sites and each state at the left one: the states at the right one that occur with it, as a mask, and how many."""
+    of = f"(SELECT s.seq_id, p.rank, s.base FROM sites s JOIN {PHI_SITES} p ON s.site = p.site WHERE s.base < 4)"
+    return f"SELECT ra, rb, x, count(*) AS n, CAST(sum(CAST(power(2, y) AS BIGINT)) AS BIGINT) AS mask FROM (SELECT DISTINCT a.rank AS ra, b.rank AS rb, a.base AS x, b.base AS y FROM {of} a JOIN {of} b ON a.seq_id = b.seq_id AND a.rank < b.rank) e GROUP BY ra, rb, x"
+
+
+@view("phi_once", "phi_edges")
+def _(d: SparkDialect) -> str:
+    return _merged("phi_edges")
+
+
+@view("phi_components", "phi_once")
+def _(d: SparkDialect) -> str:
+    """Merged twice, which reaches all of at most four left states."""
+    return _merged("phi_once")
+
+
+@view("phi_pairs", "phi_components")
+def _(d: SparkDialect) -> str:
+    """Incompatibility of each pair of informative sites: edges less vertices plus components of the graph of states that occur together."""
+    return f"SELECT ra, rb, CAST(greatest(0, sum(n) - count(*) - {d.bits('bit_or(mask)')} + count(DISTINCT mask)) AS BIGINT) AS score FROM phi_components GROUP BY ra, rb"
+
+
+@operator("phi_incompatibility", "phi_pairs")
+def _(d: SparkDialect) -> str:
+    """Incompatibility of every pair of informative sites."""
+    return "SELECT CAST(ra AS INT) AS left_rank, CAST(rb AS INT) AS right_rank, score FROM phi_pairs"
+
+
+@view("phi_moments", "phi_pairs", "phi_shape")
+def _(d: SparkDialect) -> str:
+    """The summed incompatibility of near pairs and of all, and the sums over sites that its variance takes: one pass over the pairs, each told to both of its sites."""
+    sides = f"(SELECT CASE WHEN side = 0 THEN ra ELSE rb END AS rank, rb - ra AS gap, score FROM phi_pairs CROSS JOIN (SELECT {d.each('0', '1')} AS side) b)"
+    by_site = f"(SELECT u.rank, s.k, CAST(sum(u.score) AS DOUBLE) AS f, CAST(sum(u.score * u.score) AS DOUBLE) AS g, CAST(sum(CASE WHEN u.gap <= s.k THEN u.score ELSE 0 END) AS DOUBLE) AS near FROM {sides} u CROSS JOIN phi_shape s GROUP BY u.rank, s.k)"
+    return f"""SELECT s.n, s.k, t.near / 2 AS near, t.total / 2 AS total, t.squares, t.row_squares FROM phi_shape s CROSS JOIN (SELECT coalesce(sum(near), 0) AS near, coalesce(sum(f), 0) AS total, coalesce(sum(g), 0) AS squares, coalesce(sum(f * f), 0) AS row_squares FROM {by_site} r) t"""
+
+
+def _phi_variance() -> str:
+    """The variance of the mean over near sites when sites are in random order: a polynomial in the number of sites n and of neighbours k."""
+    n, k = "CAST(n AS DOUBLE)", "CAST(k AS DOUBLE)"
+    # For each of the three sums, coefficients by powers of k and n, and what they are divided by.
+    tops = (
+        {(1, 1): 27, (2, 0): -18, (2, 1): 28, (1, 2): -21, (1, 0): -9, (0, 1): 5, (3, 0): -9, (0, 2): -11, (0, 3): 6, (3, 1): 6, (2, 2): -4},
+        {(2, 1): 8, (2, 0): -14, (1, 1): 39, (0, 1): 19, (1, 0): -21, (3, 0): 3, (1, 2): -15, (0, 3): 6, (0, 2): -21, (0, 0): -4},
+        {(1, 1): -18, (2, 1): -2, (2, 0): 16, (0, 2): 6, (0, 1): -10, (0, 0): 2, (1, 0): 15, (3, 0): 3},
+    )
+    poly = ["(" + " + ".join(f"{c} * power({k}, {i}) * power({n}, {j})" for (i, j), c in top.items()) + ")" for top in tops]
+    near = f"{k} * power(2 * {n} - {k} - 1, 2) * ({n} - 1) * ({n} - 2) * ({n} - 3) * {n}"
+    return f"(2 * {poly[0]} / (3 * {near} * ({n} - 1) * {n}) * 4 * CAST(total AS DOUBLE) * total + 2 * {poly[1]} / (3 * {near}) * squares - 4 * {poly[2]} / (3 * {near}) * row_squares)"
+
+
+@operator("phi_statistic", "phi_moments")
+def _(d: SparkDialect) -> str:
+    """Mean pairwise incompatibility of near informative sites and of all."""
+    return "SELECT CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k, round(2 * CAST(total AS DOUBLE) / greatest(1, n * (n - 1)), 9) AS mean_all, round(2 * CAST(near AS DOUBLE) / greatest(1, k * (2 * n - k - 1)), 9) AS phi FROM phi_moments"
+
+
+@operator("phi_test", "phi_moments")
+def _(d: SparkDialect) -> str:
+    """Whether near sites are less incompatible than sites in random order: statistic, mean, variance, z and the lower tail; 1 where the normal approximation does not hold."""
+    tail = erfc("abs(z) / sqrt(CAST(2 AS DOUBLE))")
+    return f"""SELECT CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k, round(phi, 9) AS phi, round(mean_all, 9) AS mean_all, round(variance, 12) AS variance, round(z, 6) AS z, valid, round(CASE WHEN NOT valid THEN CAST(1 AS DOUBLE) WHEN z < 0 THEN {tail} / 2 ELSE 1 - {tail} / 2 END, 9) AS p FROM (
+SELECT *, CASE WHEN valid THEN (phi - mean_all) / sqrt(variance) ELSE CAST(0 AS DOUBLE) END AS z FROM (SELECT *, n > 2 * k AND n > 3 AND variance > 0 AS valid FROM (
+SELECT n, k, 2 * CAST(near AS DOUBLE) / greatest(1, k * (2 * n - k - 1)) AS phi, 2 * CAST(total AS DOUBLE) / greatest(1, n * (n - 1)) AS mean_all, CASE WHEN n > 3 THEN greatest(CAST(0 AS DOUBLE), {_phi_variance()}) ELSE CAST(0 AS DOUBLE) END AS variance FROM phi_moments) v) x) y"""

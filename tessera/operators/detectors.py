@@ -87,8 +87,9 @@ def _(d: SparkDialect) -> str:
 
 @operator("chi_smooth", "chi_profile")
 def _(d: SparkDialect) -> str:
-    """The profile smoothed over eleven ranks, at every 25th rank."""
-    return "SELECT a, b, c, CAST(pair AS INT) AS pair, rank, round(s, 6) AS smooth FROM (SELECT a, b, c, pair, rank, avg(chi) OVER (PARTITION BY a, b, c, pair ORDER BY rank ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS s FROM chi_profile) x WHERE rank % 25 = 0"
+    """The profile smoothed over eleven ranks of the circle: the last ranks stand before the first too, and the first after the last."""
+    padded = "SELECT a, b, c, pair, rank, n, chi FROM chi_profile UNION ALL SELECT a, b, c, pair, rank - n, n, chi FROM chi_profile WHERE rank > n - 5 UNION ALL SELECT a, b, c, pair, rank + n, n, chi FROM chi_profile WHERE rank <= 5"
+    return f"SELECT a, b, c, CAST(pair AS INT) AS pair, CAST(rank AS INT) AS rank, round(s, 6) AS smooth FROM (SELECT a, b, c, pair, rank, n, avg(chi) OVER (PARTITION BY a, b, c, pair ORDER BY rank ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS s FROM ({padded}) y) x WHERE rank BETWEEN 1 AND n"
 
 
 @operator("chimaera_profile", "informative")
@@ -117,8 +118,8 @@ def _(d: SparkDialect) -> str:
 
 @operator("geneconv_g0_pvalue", "runs")
 def _(d: SparkDialect) -> str:
-    """Fragments of eight sites or more with the probability of so long a run without mismatches."""
-    return f"SELECT a, b, c, CAST(track AS INT) AS track, start_site, end_site, length, round({geneconv_g0('length', 'n', 'matches')}, 9) AS p FROM runs WHERE length >= 8"
+    """Fragments of four sites or more with the probability of so long a run without mismatches."""
+    return f"SELECT a, b, c, CAST(track AS INT) AS track, start_site, end_site, length, round({geneconv_g0('length', 'n', 'matches')}, 9) AS p FROM runs WHERE length >= 4"
 
 
 @view("walk", "informative")

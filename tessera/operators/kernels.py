@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import scans
 from tessera.plans.operator import Operator
 
 SEED = 1511506142
@@ -281,6 +282,11 @@ def alignment_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, "sites", **_tables(spark, sf_dir))
 
 
+def alignment_length(sites: DataFrame) -> int:
+    last = sites.agg(F.max("site")).first()[0]
+    return 1 if last is None else last + 1
+
+
 QUERIES = {
     "three_seq_exact": lambda spark, sf_dir: three_seq_exact(frame(spark, "signals", **_tables(spark, sf_dir))),
     "nj_newick": lambda spark, sf_dir: window_trees(frame(spark, "sites", **_tables(spark, sf_dir))).select("win", "newick"),
@@ -289,6 +295,8 @@ QUERIES = {
     "hmm_states": lambda spark, sf_dir: hidden_states(frame(spark, "informative", **_tables(spark, sf_dir))),
     "bootscan_support": lambda spark, sf_dir: bootscan_support(frame(spark, "columns", **_tables(spark, sf_dir))),
     "siscan_z": lambda spark, sf_dir: window_z(frame(spark, "columns", **_tables(spark, sf_dir))),
-    "hotspot_p": lambda spark, sf_dir: hotspot_p(frame(spark, "best_events", **_tables(spark, sf_dir)), 358),
+    "hotspot_p": lambda spark, sf_dir: hotspot_p(frame(spark, "best_events", **_tables(spark, sf_dir)), alignment_length(alignment_of(spark, sf_dir))),
+    "chi_events": lambda spark, sf_dir: scans.chi_events(alignment_of(spark, sf_dir)),
+    "quartet_shift": lambda spark, sf_dir: scans.quartet_shift(alignment_of(spark, sf_dir), frame(spark, "accepted", **_tables(spark, sf_dir))),
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.operator import OPERATORS
@@ -14,25 +14,55 @@ from tessera.plans.operator import OPERATORS
 MOST = 250
 
 
-def cyclic_events(spark: SparkSession, sites: DataFrame, most: int = MOST, alpha: float = 0.05) -> DataFrame:
-    """Events in the order of their acceptance, until none is at or under ``alpha``; each pass scans the alignment without the tracts accepted so far.
+def disassemble(sites: DataFrame, row: int, start: int, end: int, component: int) -> DataFrame:
+    """The alignment with a tract taken out of a row: the row has gaps there, and a row of its own, named ``component``, has the tract and gaps elsewhere."""
+    inside = (F.col("site") >= start) & (F.col("site") < end)
+    left = sites.withColumn("base", F.when((F.col("seq_id") == row) & inside, F.lit(4)).otherwise(F.col("base")).cast("int"))
+    tract = sites.where((F.col("seq_id") == row) & inside).select(F.lit(component).cast("long").alias("seq_id"), "site", "base")
+    return left.select("seq_id", "site", "base").unionByName(tract.withColumn("base", F.col("base").cast("int")))
 
-    One row a pass reaches the driver: the event that the next pass erases.  Each pass starts from a checkpoint of the sites."""
+
+def cyclic_events(spark: SparkSession, sites: DataFrame, most: int = MOST, alpha: float = 0.05, extract: bool = True) -> DataFrame:
+    """Events in the order of their acceptance, until none is at or under ``alpha``; each pass scans the alignment as the tracts accepted so far have left it.
+
+    A tract taken out of a sequence goes on as a component (a row of its own, numbered from the largest seq_id on) that can be a parent or recombinant
+    in later passes, unless ``extract`` is off; three rows of which two come from one sequence are no detection.  Events name the
+    rows they were found in and the sequences these come from.  Components are compared at the sites of their tract only.
+
+    One row a pass reaches the driver: the event that the next pass erases.  Each pass starts from a checkpoint of the sites, in the folder that the
+    session names; without one a local session takes a folder of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    sites = sites.checkpoint()
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
+    sites = sites.select("seq_id", "site", "base").checkpoint()
+    last = sites.agg(F.max("seq_id")).first()[0]
+    origin: dict[int, int] = {}
     taken: list[tuple] = []
+
+    def origin_of(name: str) -> Column:
+        known = F.create_map(*(F.lit(x).cast("long") for pair in origin.items() for x in pair)) if origin else None
+        return F.coalesce(known[F.col(name)], F.col(name)) if origin else F.col(name)
+
     while True:
-        found = OPERATORS["three_seq_siegmund"].run(spark, sites=sites)
-        best = found.where(F.col("p") <= alpha).orderBy("p", F.desc("descent"), "event_id").limit(1).collect()
+        found = OPERATORS["three_seq_siegmund"].run(spark, sites=sites).where(F.col("p") <= alpha)
+        if origin:
+            found = found.where((origin_of("recombinant") != origin_of("major")) & (origin_of("recombinant") != origin_of("minor")) & (origin_of("major") != origin_of("minor")))
+        best = found.orderBy("p", F.desc("descent"), "event_id").limit(1).collect()
         if not best:
             break
         if len(taken) == most:
             warnings.warn(f"cyclic_events stopped at its cap of {most} passes with significant events left", RuntimeWarning, stacklevel=2)
             break
         e = best[0]
-        taken.append((len(taken) + 1, e.event_id, e.recombinant, e.major, e.minor, e.tract_start, e.tract_end, e.p))
-        inside = (F.col("seq_id") == e.recombinant) & (F.col("site") >= e.tract_start) & (F.col("site") < e.tract_end)
-        sites = sites.withColumn("base", F.when(inside, F.lit(4)).otherwise(F.col("base")).cast("int")).checkpoint()
-    return spark.createDataFrame(taken, "pass int, event_id string, recombinant long, major long, minor long, tract_start int, tract_end int, p double")
+        taken.append((len(taken) + 1, e.event_id, e.recombinant, e.major, e.minor, *(origin.get(x, x) for x in (e.recombinant, e.major, e.minor)), e.tract_start, e.tract_end, e.p))
+        component = last + len(taken)
+        if extract:
+            origin[component] = origin.get(e.recombinant, e.recombinant)
+        after = disassemble(sites, e.recombinant, e.tract_start, e.tract_end, component)
+        # dealt anew: a union has the partitions of both its parts, and would double them every pass
+        after = after if extract else after.where(F.col("seq_id") != component)
+        sites = after.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seq_id").checkpoint()
+    return spark.createDataFrame(taken, "pass int, event_id string, recombinant long, major long, minor long, recombinant_origin long, major_origin long, minor_origin long, tract_start int, tract_end int, p double")

@@ -48,6 +48,9 @@ class SparkDialect:
     def replace_all(self, text: str, pattern: str, by: str) -> str:
         return f"regexp_replace({text}, '{pattern}', '{by.replace(chr(92) + '1', '$1')}')"
 
+    def round_even(self, x: str) -> str:
+        return f"CAST(bround({x}, 0) AS BIGINT)"
+
     def piece(self, text: str, sep: str, k: str) -> str:
         return f"split_part({text}, '{sep}', {k})"
 
@@ -82,6 +85,9 @@ class DuckDialect(SparkDialect):
     def matches(self, text: str, pattern: str) -> str:
         return f"regexp_matches({text}, '{pattern}')"
 
+    def round_even(self, x: str) -> str:
+        return f"CAST(round_even({x}, 0) AS BIGINT)"
+
     def replace_all(self, text: str, pattern: str, by: str) -> str:
         return f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
 

@@ -94,19 +94,19 @@ FORMATS = {"fasta": fasta, "clustal": clustal, "nexus": nexus, "phylip": phylip}
 
 
 def sniff(text: str | Column = "text") -> Column:
-    """The format of a text by its first characters."""
+    """The format of a text by its first characters; null for any other."""
     t = F.ltrim(F.col(text) if isinstance(text, str) else text)
-    kind = F.when(t.startswith(">"), "fasta").when(t.rlike(r"^(?i)(CLUSTAL|MUSCLE)"), "clustal").when(t.rlike(r"^(?i)#NEXUS"), "nexus").when(t.rlike(r"^\d+[ \t]+\d+"), "phylip")
-    return F.coalesce(kind, F.raise_error(F.lit("unknown alignment format")).cast("string"))
+    return F.when(t.startswith(">"), "fasta").when(t.rlike(r"^(?i)(CLUSTAL|MUSCLE)"), "clustal").when(t.rlike(r"^(?i)#NEXUS"), "nexus").when(t.rlike(r"^\d+[ \t]+\d+"), "phylip")
 
 
 def alignment(texts: DataFrame) -> DataFrame:
-    """Records of files of any of the formats."""
+    """Records of files of any of the formats.  Each text is read by one branch; the last one has those of no format, and fails on the first."""
     known = texts.withColumn("format", sniff())
-    out = None
+    unknown = known.where("format is null").where(_must(F.length("path") < 0, "unknown alignment format"))
+    out = unknown.select("path", F.lit(0).alias("position"), F.col("text").alias("name"), F.col("text").alias("sequence"))
     for name, reader in FORMATS.items():
         part = reader(known.where(F.col("format") == name).select("path", "text"))
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
     return out
 
 
@@ -186,7 +186,7 @@ def bed(texts: DataFrame, length: int) -> DataFrame:
 
 def annotations(texts: DataFrame, length: int) -> DataFrame:
     """Features of files in GFF3, GenBank or BED; the format is taken from the text."""
-    kind = F.when(F.exists(F.split("text", r"\r?\n"), lambda x: F.size(F.split(x, "\t")) >= 8), "gff3").when(F.col("text").rlike(r"(?m)^\s*FEATURES\s+Location/Qualifiers"), "genbank").otherwise("bed")
+    return F.when(F.exists(F.split("text", r"\r?\n"), lambda x: F.size(F.split(x, "\t")) >= 8), "gff3").when(F.col("text").rlike(r"(?m)^\s*FEATURES\s+Location/Qualifiers"), "genbank").otherwise("bed")
     known = texts.withColumn("kind", kind)
     parts = [reader(known.where(F.col("kind") == name).select("path", "text"), length).select(*FEATURES) for name, reader in (("gff3", gff3), ("genbank", genbank), ("bed", bed))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

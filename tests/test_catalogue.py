@@ -132,6 +132,12 @@ def test_cyclic_goes_on_to_the_fix_point_or_warns(spark):
     sites = spark.createDataFrame([(i, s, int(m[i, s])) for i in range(4) for s in range(900)], "seq_id long, site int, base int")
     got = cyclic_events(spark, sites, alpha=1e-6).orderBy("pass").collect()
     assert len(got) > 3 and [r["pass"] for r in got] == list(range(1, len(got) + 1))
+    # three of the planted tracts and more are found, none twice in one row, and no detection mixes parts of one sequence
+    hits = [t for t in ((60, 120), (240, 300), (420, 480), (600, 660), (780, 840)) if any(r.recombinant_origin == 0 and r.tract_start < t[1] and r.tract_end > t[0] for r in got)]
+    assert len(hits) >= 3
+    assert all(len({r.recombinant_origin, r.major_origin, r.minor_origin}) == 3 for r in got)
+    for r in got:
+        assert all(q.recombinant != r.recombinant or q.tract_end <= r.tract_start or q.tract_start >= r.tract_end or q["pass"] == r["pass"] or (q.tract_start, q.tract_end) != (r.tract_start, r.tract_end) for q in got)
     with pytest.warns(RuntimeWarning, match="cap of 1"):
         assert cyclic_events(spark, sites, most=1, alpha=1e-6).count() == 1
 
@@ -148,3 +154,59 @@ def test_incremental_pairs(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out").select("new_id", "seq_id", "valid_sites", "differences").collect()
     want = {(r.left_id, r.right_id): (r.valid_sites, r.differences) for r in OPERATORS["pair_distance"].run(spark, sites=sites).collect()}
     assert len(got) == 8 and all(want[tuple(sorted((r.new_id, r.seq_id)))] == (r.valid_sites, r.differences) for r in got)
+
+
+def slow_incompatibility(m, i, j):
+    """Edges less vertices plus components, by walking the graph of states that occur together."""
+    edges = {(("l", x), ("r", y)) for x, y in zip(m[:, i], m[:, j]) if x < 4 and y < 4}
+    vertices = {v for e in edges for v in e}
+    left, components = set(vertices), 0
+    while left:
+        components += 1
+        queue = [left.pop()]
+        while queue:
+            v = queue.pop()
+            near = {w for e in edges if v in e for w in e} & left
+            left -= near
+            queue += near
+    return max(0, len(edges) - len(vertices) + components)
+
+
+def test_phi_against_loops_and_permutations(spark):
+    rng = np.random.default_rng(11)
+    m = rng.integers(0, 5, (8, 60))
+    informative = [s for s in range(60) if sum((m[:, s] == b).sum() >= 2 for b in range(4)) >= 2]
+    sites = spark.createDataFrame([(i, s, int(m[i, s])) for i in range(8) for s in range(60)], "seq_id long, site int, base int")
+    score = np.zeros((len(informative),) * 2)
+    for i, s in enumerate(informative):
+        for j in range(i + 1, len(informative)):
+            score[i, j] = score[j, i] = slow_incompatibility(m, s, informative[j])
+    got = {(r.left_rank - 1, r.right_rank - 1): r.score for r in OPERATORS["phi_incompatibility"].run(spark, sites=sites).collect()}
+    n = len(informative)
+    assert all(got.get((i, j), 0) == score[i, j] for i in range(n) for j in range(i + 1, n))
+    test = OPERATORS["phi_test"].run(spark, sites=sites).first()
+    k = test.k
+    near = lambda x: np.mean([x[i, i + g] for g in range(1, k + 1) for i in range(n - g)])
+    assert (test.n, test.phi) == (n, pytest.approx(near(score))) and test.mean_all == pytest.approx(score.sum() / (n * (n - 1)))
+    if test.valid:
+        shuffled = [near(score[np.ix_(o, o)]) for o in (rng.permutation(n) for _ in range(4000))]
+        assert test.variance == pytest.approx(np.var(shuffled), rel=0.12) and test.mean_all == pytest.approx(np.mean(shuffled), rel=0.01)
+        assert test.p == pytest.approx(np.mean(np.array(shuffled) <= test.phi), abs=0.05)
+
+
+def test_smoothing_is_circular(spark):
+    rows = [(0, 1, 2, 0, r, r, 20, 11.0 if r == 1 else 0.0) for r in range(1, 21)]
+    profile = spark.createDataFrame(rows, "a long, b long, c long, pair int, rank int, site int, n int, chi double")
+    got = {r.rank: r.smooth for r in OPERATORS["chi_smooth"].run(spark, chi_profile=profile).collect()}
+    assert got == {r: 1.0 if r <= 6 or r >= 16 else 0.0 for r in range(1, 21)}
+
+
+def test_disassembled_rows_hold_every_base_once(spark):
+    from tessera.plans.cyclic import disassemble
+
+    sites = planted(spark, length=30, tract=(10, 20), n=3)
+    before = {(r.seq_id, r.site): r.base for r in sites.collect()}
+    after = {(r.seq_id, r.site): r.base for r in disassemble(sites, 0, 10, 20, 9).collect()}
+    assert {k for k in after if k[0] == 9} == {(9, s) for s in range(10, 20)}
+    assert all(after[k] == (4 if k[0] == 0 and 10 <= k[1] < 20 else v) for k, v in before.items())
+    assert all(after[9, s] == before[0, s] for s in range(10, 20))
