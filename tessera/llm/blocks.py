@@ -93,6 +93,8 @@ def shared_dir(df: DataFrame) -> None:
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if named is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="tessera-")

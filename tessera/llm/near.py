@@ -45,6 +45,8 @@ LEAST_AGREEING = 60
 PART = 1024
 NODE_PART = 1024
 COLUMNS = 4096
+COPIES = 1 << 16
+MOST_BROADCAST_ROWS = 100_000
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**64, SKETCH, dtype=U)
 _ODD = _rng.integers(0, 2**64, SKETCH, dtype=U) | U(1)
@@ -273,11 +275,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     prints = cut_lineage(fingerprints(docs, width))
     usable = prints.where("n > 0 and doc_id is not null")
-    classes = cut_lineage(usable.groupBy("set_a", "set_b").agg(F.min_by(F.struct("n", "paths", "sketch"), "doc_id").alias("p"), F.min("doc_id").alias("doc")))
+    classes = cut_lineage(usable.groupBy("set_a", "set_b").agg(F.min_by(F.struct("n", "paths", "sketch"), "doc_id").alias("p"), F.min("doc_id").alias("doc"), F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("salts")))
     near = components(_neighbours(_nodes(classes.select("doc", "p.*")), percent))
     comps = cut_lineage(components(_links(near, docs, width, percent)))
-    by_class = classes.select("set_a", "set_b", "doc").join(comps, "doc", "left").select("set_a", "set_b", F.coalesce("comp", "doc").alias("class_comp"))
-    out = prints.select("doc_id", "n", F.when(F.expr("n > 0 and doc_id is not null"), F.col("set_a")).alias("set_a"), "set_b").join(by_class, ["set_a", "set_b"], "left")
+    by_class = classes.select("set_a", "set_b", "doc", "salts").join(comps, "doc", "left").select("set_a", "set_b", "salts", F.coalesce("comp", "doc").alias("class_comp"))
+    linked, alone = usable.select("doc_id", "n", "set_a", "set_b"), prints.where("n = 0 or doc_id is null").select("doc_id", "n", F.lit(None).cast("long").alias("class_comp"))
+    # the copies of one text are dealt over as many keys as COPIES of them make, so that no task has them all
+    large = classes.where("salts > 1").select("set_a", "set_b", "salts")
+    n_large = large.count()
+    if n_large:
+        small = F.broadcast if n_large <= MOST_BROADCAST_ROWS else (lambda table: table)
+        linked = linked.join(small(large), ["set_a", "set_b"], "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        by_class = by_class.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    joined = linked.join(by_class.drop("salts"), ["set_a", "set_b", *(["salt"] if n_large else [])])
+    out = joined.select("doc_id", "n", "class_comp").unionByName(alone)
     component = F.coalesce("class_comp", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

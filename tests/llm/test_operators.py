@@ -518,6 +518,29 @@ def test_pieces(docs, empty):
     assert pieces.encode_decode(empty, pieces.default_model()).count() == 0
 
 
+def test_spans_are_the_surfaces_of_the_library(docs):
+    """Every piece but byte pieces covers the text that the library names as its surface."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    texts = {r[0]: r[1] or "" for r in corpus() if r[0] is not None}
+    compared = 0
+    for r in pieces.encode_decode(docs, pieces.default_model(), outputs=("spans",)).where("doc_id is not null").collect():
+        data = texts[r.doc_id].encode()
+        for s, piece in zip(r.spans, model.encode(texts[r.doc_id], return_type="proto").pieces, strict=True):
+            if not model.is_byte(piece.id):
+                assert data[s.start : s.end].decode() == piece.surface
+                compared += 1
+    assert compared > 1000
+
+
+def test_copies_of_one_text_are_dealt_over_keys(spark, monkeypatch):
+    monkeypatch.setattr(near, "COPIES", 4)
+    rows = [(i, "one text of some words that is copied often") for i in range(30)] + [(40, "another text of some words here"), (41, None), (None, "one text of some words that is copied often")]
+    got = {(r.doc_id, r.component_id) for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, 0) for i in range(30)} | {(40, 40), (41, 41), (None, None)}
+
+
 def charsmap(pairs):
     """A compiled character map of one-byte sources, for the trie reader."""
     units, pool = [0] * 1024, b""
