@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.plans.operator import SparkDialect, operator, view
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
+
+from tessera.plans.operator import SparkDialect, built, operator, view
 
 EVENTS = 0.05
 
@@ -84,10 +92,51 @@ def _(d: SparkDialect) -> str:
     return "SELECT a, b, c, method, round(p, 9) AS p FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY round(p, 12), method) AS k FROM evidence) x WHERE k = 1"
 
 
-@view("accepted", "best_events")
+#: The same acceptance as SQL: each step leaves the signals that do not meet their recombinant's strongest one of the step before.
+ACCEPTED = f"""WITH RECURSIVE supported AS MATERIALIZED (SELECT event_id, recombinant, major, minor, tract_start, tract_end, descent, p, row_number() OVER (PARTITION BY recombinant ORDER BY round(p, 12), descent DESC, event_id) AS k FROM signals WHERE round(p, 12) <= {EVENTS}),
+left_over AS (SELECT recombinant, k, tract_start, tract_end, 1 AS pick FROM supported
+UNION ALL SELECT recombinant, k, tract_start, tract_end, pick + 1 FROM (SELECT *, first_value(k) OVER w AS best, first_value(tract_start) OVER w AS best_start, first_value(tract_end) OVER w AS best_end FROM left_over WINDOW w AS (PARTITION BY recombinant ORDER BY k)) x WHERE k > best AND (tract_start >= best_end OR best_start >= tract_end))
+SELECT s.event_id, s.recombinant, s.major, s.minor, s.tract_start, s.tract_end, s.descent, s.p, CAST(t.pick AS INTEGER) AS pick FROM supported s JOIN (SELECT recombinant, pick, min(k) AS k FROM left_over GROUP BY recombinant, pick) t ON t.recombinant = s.recombinant AND t.k = s.k"""
+
+
+@built("accepted", "signals", sql=ACCEPTED)
+def disjoint_tracts(signals: DataFrame, alpha: float = EVENTS) -> DataFrame:
+    """Every supported tract of each recombinant that meets no stronger one it keeps: its signals at or under ``alpha`` from the strongest on
+    (ties by descent, then event_id), each kept unless it overlaps a kept one.  ``pick`` numbers a recombinant's tracts in that order.
+
+    Signals of one tract are reduced to the strongest before the shuffle.  A task reads its recombinants' tracts in order and remembers only the
+    kept ones of the recombinant at hand, which are disjoint, so its memory does not grow with the number of signals."""
+    spark = signals.sparkSession
+    rank = [F.round("p", 12).alias("order"), (-F.col("descent")).alias("less"), "event_id", "major", "minor", "descent", "p"]
+    strongest = signals.where(F.round("p", 12) <= alpha).groupBy("recombinant", "tract_start", "tract_end").agg(F.min(F.struct(*rank)).alias("best"))
+    tracts = strongest.select("best.event_id", "recombinant", "best.major", "best.minor", "tract_start", "tract_end", "best.descent", "best.p", "best.order", "best.less")
+    tracts = tracts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "recombinant").sortWithinPartitions("recombinant", "order", "less", "event_id")
+    schema = tracts.drop("order", "less").schema.add("pick", IntegerType())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, starts, ends = None, [], []
+        for batch in batches:
+            kept, picks = [], []
+            for i, (recombinant, start, end) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("recombinant", "tract_start", "tract_end")), strict=True)):
+                if recombinant != row:
+                    row, starts, ends = recombinant, [], []
+                at = bisect_left(starts, start)
+                if (at > 0 and ends[at - 1] > start) or (at < len(starts) and starts[at] < end):
+                    continue
+                starts.insert(at, start)
+                ends.insert(at, end)
+                kept.append(i)
+                picks.append(len(starts))
+            some = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in schema.names[:-1]), pa.array(picks, pa.int32())], names=schema.names)
+
+    return tracts.mapInArrow(keep, schema)
+
+
+@operator("accepted_tracts", "accepted")
 def _(d: SparkDialect) -> str:
-    """For each recombinant its strongest event."""
-    return "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recombinant ORDER BY event_index) AS pick FROM best_events) x WHERE pick = 1"
+    """All disjoint supported tracts of each recombinant, in the order in which they are accepted."""
+    return "SELECT event_id, recombinant, major, minor, tract_start, tract_end, round(p, 9) AS p, pick FROM accepted"
 
 
 @operator("mask_tracts", "sites", "accepted")
@@ -104,10 +153,10 @@ def _(d: SparkDialect) -> str:
 
 @operator("erase_extract", "sites", "accepted")
 def _(d: SparkDialect) -> str:
-    """Disassembly: each sequence loses its tract to a component of its own."""
+    """Disassembly: each sequence loses its tracts, and each tract goes to a component of its own (0 is the remainder)."""
     inside = "s.site >= e.tract_start AND s.site < e.tract_end"
-    return f"""SELECT s.seq_id AS origin, 'remainder' AS kind, s.site, CAST(CASE WHEN e.event_id IS NOT NULL AND {inside} THEN 4 ELSE s.base END AS INT) AS base FROM sites s LEFT JOIN accepted e ON e.recombinant = s.seq_id
-UNION ALL SELECT s.seq_id, 'tract', s.site, CAST(CASE WHEN {inside} THEN s.base ELSE 4 END AS INT) FROM sites s JOIN accepted e ON e.recombinant = s.seq_id"""
+    return f"""SELECT s.seq_id AS origin, 'remainder' AS kind, 0 AS component, s.site, CAST(CASE WHEN e.event_id IS NOT NULL THEN 4 ELSE s.base END AS INT) AS base FROM sites s LEFT JOIN accepted e ON e.recombinant = s.seq_id AND {inside}
+UNION ALL SELECT s.seq_id, 'tract', e.pick, s.site, CAST(CASE WHEN {inside} THEN s.base ELSE 4 END AS INT) FROM sites s JOIN accepted e ON e.recombinant = s.seq_id"""
 
 
 @operator("structural_pieces", "sites")

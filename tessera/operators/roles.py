@@ -22,7 +22,7 @@ def _pearson(x: str, y: str) -> str:
 
 @view("role_members", "accepted")
 def _(d: SparkDialect) -> str:
-    return "SELECT event_id, event_index, tract_start, tract_end, role, CASE role WHEN 0 THEN recombinant WHEN 1 THEN major ELSE minor END AS member FROM accepted CROSS JOIN (SELECT 0 AS role UNION ALL SELECT 1 UNION ALL SELECT 2) r"
+    return "SELECT event_id, tract_start, tract_end, role, CASE role WHEN 0 THEN recombinant WHEN 1 THEN major ELSE minor END AS member FROM accepted CROSS JOIN (SELECT 0 AS role UNION ALL SELECT 1 UNION ALL SELECT 2) r"
 
 
 @view("role_profiles", "role_members", "sites")

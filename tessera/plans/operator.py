@@ -103,6 +103,8 @@ class View:
 
 
 VIEWS: dict[str, View] = {}
+#: Views that Spark builds from the DataFrames of what they need, as their SQL is recursive.
+BUILT: dict[str, Callable[..., DataFrame]] = {}
 OPERATORS: dict[str, Operator] = {}
 
 
@@ -114,6 +116,17 @@ def view(name: str, *needs: str) -> Callable[[Text], Text]:
     return keep
 
 
+def built(name: str, *needs: str, sql: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """A view made by a function of DataFrames on Spark, and by recursive SQL on DuckDB."""
+
+    def keep(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        VIEWS[name] = View(needs, lambda _: sql)
+        BUILT[name] = build
+        return build
+
+    return keep
+
+
 @dataclass(frozen=True)
 class Operator:
     name: str
@@ -144,6 +157,8 @@ class Operator:
         return (f"WITH {ctes}\n" if ctes else "") + self.text(DUCK)
 
     def run(self, spark: SparkSession, **frames: DataFrame) -> DataFrame:
+        for name in [v for v in self._parts(set(frames))[1] if v in BUILT]:
+            frames[name] = BUILT[name](*(Operator(n, (n,), lambda _, n=n: f"SELECT * FROM {n}", "").run(spark, **frames) for n in VIEWS[name].needs))
         used, order = self._parts(set(frames))
         ctes = [f"{u} AS (SELECT * FROM {{{u}}})" for u in used] + [f"{v} AS ({VIEWS[v].text(SPARK)})" for v in order]
         return spark.sql("WITH " + ",\n".join(ctes) + "\n" + self.text(SPARK), **{u: frames[u] for u in used})

@@ -194,6 +194,38 @@ def test_phi_against_loops_and_permutations(spark):
         assert test.p == pytest.approx(np.mean(np.array(shuffled) <= test.phi), abs=0.05)
 
 
+def test_every_disjoint_tract_is_accepted(spark):
+    from tessera.operators.intervals import disjoint_tracts
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        start = int(rng.integers(0, 300))
+        rows.append((f"e{i:03}", int(rng.integers(0, 4)), 10, 11, start, start + int(rng.integers(1, 40)), int(rng.integers(4, 9)), float(rng.choice([1e-5, 1e-3, 0.01, 0.05, 0.2]))))
+    schema = "event_id string, recombinant long, major long, minor long, tract_start int, tract_end int, descent int, p double"
+    want = []
+    for r in sorted(rows, key=lambda r: (r[7], -r[6], r[0])):
+        if r[7] <= 0.05 and all(k[1] != r[1] or k[5] <= r[4] or k[4] >= r[5] for k in want):
+            want.append(r)
+    signals = spark.createDataFrame(rows, schema)
+    got = disjoint_tracts(signals).collect()
+    assert sorted(r.event_id for r in got) == sorted(r[0] for r in want)
+    for q in range(4):
+        assert [r.event_id for r in sorted(got, key=lambda r: r.pick) if r.recombinant == q] == [r[0] for r in want if r[1] == q]
+    assert disjoint_tracts(signals.where("false")).count() == 0
+
+
+def test_all_tracts_of_a_sequence_are_masked_and_extracted(spark):
+    sites = planted(spark, length=30, tract=(10, 20), n=3)
+    schema = "event_id string, recombinant long, major long, minor long, tract_start int, tract_end int, descent int, p double, pick int"
+    accepted = spark.createDataFrame([("x", 0, 1, 2, 3, 8, 5, 1e-4, 1), ("y", 0, 2, 1, 20, 26, 5, 1e-3, 2)], schema)
+    masked = {(r.seq_id, r.site): r.base for r in OPERATORS["mask_tracts"].run(spark, sites=sites, accepted=accepted).collect()}
+    assert {k for k, v in masked.items() if v == 4} == {(0, s) for s in (*range(3, 8), *range(20, 26))} and len(masked) == 90
+    parts = OPERATORS["erase_extract"].run(spark, sites=sites, accepted=accepted).collect()
+    held = {c: {r.site for r in parts if r.origin == 0 and r.component == c and r.base < 4} for c in (0, 1, 2)}
+    assert held[1] == set(range(3, 8)) and held[2] == set(range(20, 26)) and held[0] == set(range(30)) - held[1] - held[2]
+
+
 def test_smoothing_is_circular(spark):
     rows = [(0, 1, 2, 0, r, r, 20, 11.0 if r == 1 else 0.0) for r in range(1, 21)]
     profile = spark.createDataFrame(rows, "a long, b long, c long, pair int, rank int, site int, n int, chi double")
