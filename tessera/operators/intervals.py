@@ -50,10 +50,10 @@ def _(d: SparkDialect) -> str:
     return """SELECT x.event_id AS left_event, y.event_id AS right_event, CAST(greatest(abs(x.tract_start - y.tract_start), abs(x.tract_end - y.tract_end)) AS INT) AS distance FROM best_events x JOIN best_events y ON least(x.major, x.minor) = least(y.major, y.minor) AND greatest(x.major, x.minor) = greatest(y.major, y.minor) AND x.event_index < y.event_index AND greatest(abs(x.tract_start - y.tract_start), abs(x.tract_end - y.tract_end)) <= 12"""
 
 
-@operator("bonferroni", "best_events", "triplets")
+@operator("bonferroni", "signals", "triplets")
 def _(d: SparkDialect) -> str:
-    """Probabilities times the number of triplets compared."""
-    return f"SELECT event_id, round(least(CAST(1 AS DOUBLE), p * n), 9) AS corrected, p * n <= {EVENTS} AS supported FROM best_events CROSS JOIN (SELECT count(*) AS n FROM triplets) t"
+    """Probabilities of all signals times the number of triplets compared."""
+    return f"SELECT event_id, round(least(CAST(1 AS DOUBLE), p * n), 9) AS corrected, p * n <= {EVENTS} AS supported FROM signals CROSS JOIN (SELECT count(*) AS n FROM triplets) t"
 
 
 @operator("holm", "best_events")
