@@ -18,7 +18,12 @@ MOST_BROADCAST = 64 << 20
 CHI_WINDOW = 40
 LEAST_LENGTH = 4
 SMOOTHED = 5
+#: Fixed values of the window rules.
 CRITICAL = 2
+LEAST_SITES = 7
+LEAST_HALF = 6
+SHARE = 0.75
+ROUNDING = 0.51
 
 
 def sequences(sites: DataFrame) -> tuple[DataFrame, int, int]:
@@ -97,15 +102,16 @@ def scan_triplets(sites: DataFrame, detector: Callable[[np.ndarray], list[tuple]
 
 
 def half_window(n: int, full: int = CHI_WINDOW) -> int:
-    """Half a window over n sites: three quarters of them, or all, where the window does not fit; 0 for none."""
-    if n < 7:
-        return 0
-    half = (full + 1) // 2
-    if 2 * half > n:
-        half = int(0.75 * n / 2 + 0.51) - 1
-    if half <= CRITICAL:
-        half = int(n / 2 + 0.51) - 1
-    return half if half >= 6 else 0
+    """Half the window for a track of n sites, or 0 if the track is too short for any: the asked one if the track holds it, else one
+    cut from SHARE of the track, and if that tells nothing (a shift must pass CRITICAL sites) one cut from the whole track."""
+
+    def cut(share: float) -> int:
+        return int(share * n / 2 + ROUNDING) - 1
+
+    asked = math.ceil(full / 2)
+    offers = (asked if n >= 2 * asked else cut(SHARE), cut(1))
+    chosen = next((h for h in offers if h > CRITICAL), 0)
+    return chosen if n >= LEAST_SITES and chosen >= LEAST_HALF else 0
 
 
 class Track:
@@ -150,7 +156,7 @@ class Track:
 
     def grown(self, peak: int, start: float) -> tuple[int, int]:
         """The largest shift at a peak over widening windows, in thousandths, and its width; gives up after many widths without a gain."""
-        narrow = min(max(int(self.half / 4 + 0.51), 6), self.half, self.n // 2)
+        narrow = min(max(int(self.half / 4 + ROUNDING), LEAST_HALF), self.half, self.n // 2)
         fails_left = most = max(1, min(2 * self.half, (self.n - 2 * narrow) // 2))
         width = np.arange(narrow + 1, self.n // 2 + 1)
         if not self.circular:

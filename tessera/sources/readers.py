@@ -100,10 +100,11 @@ def sniff(text: str | Column = "text") -> Column:
 
 
 def alignment(texts: DataFrame) -> DataFrame:
-    """Records of files of any of the formats.  Each text is read by one branch; the last one has those of no format, and fails on the first."""
+    """Records of files of any of the formats.  Each text is read by one branch; a text of no format raises an error."""
     known = texts.withColumn("format", sniff())
-    unknown = known.where("format is null").where(_must(F.length("path") < 0, "unknown alignment format"))
-    out = unknown.select("path", F.lit(0).alias("position"), F.col("text").alias("name"), F.col("text").alias("sequence"))
+    # the condition looks at the text, so that it stays above whatever made the text
+    out = known.where(F.when(F.col("format").isNull(), F.raise_error(F.lit("unknown alignment format")).cast("boolean")).otherwise(F.lit(False)))
+    out = out.select("path", F.lit(0).alias("position"), F.col("text").alias("name"), F.col("text").alias("sequence"))
     for name, reader in FORMATS.items():
         part = reader(known.where(F.col("format") == name).select("path", "text"))
         out = out.unionByName(part)

@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from tessera.sources import readers
 
@@ -40,15 +41,24 @@ def test_malformed(spark, text, reader):
         reader(texts(spark, text)).collect()
 
 
+def test_unknown_formats_raise_over_grouped_texts(spark):
+    """The check must not move below an aggregate that makes the texts."""
+    rows = spark.createDataFrame([("f0", 0, ">a"), ("f0", 1, "ACGT"), ("f1", 0, "what")], "path string, line int, text string")
+    whole = rows.groupBy("path").agg(F.expr("array_join(transform(array_sort(collect_list(struct(line, text))), x -> x.text), '\n')").alias("text"))
+    assert [r.sequence for r in readers.alignment(whole.where("path = 'f0'")).collect()] == ["ACGT"]
+    with pytest.raises(PySparkException, match="unknown alignment format"):
+        readers.alignment(whole).collect()
+
+
 def test_annotations(spark):
-    gff = "##gff-version 3\nseq\tsrc\tCDS\t101\t2000\t.\t+\t0\tID=c1;gene=pol%20x;gene=env+1\nseq\tsrc\tCDS\t9\t3\t.\t+\t0\tID=bad\n"
-    gb = 'FEATURES             Location/Qualifiers\n     gene            complement(300..900)\n                     /gene="abc"\n                     /note=x\n     misc            nowhere\n'
-    bed = "chr 10 40 leader\nchr 50 9999\n"
-    got = {r.id: r for r in readers.annotations(texts(spark, gff, gb, bed), 3000).collect()}
-    c = got["c1"]
-    assert (c.type, c.feature_start, c.feature_end, c.strand, c.phase, c.name, c.source) == ("CDS", 100, 2000, "+", 0, "env+1", "src")
+    gff = "##gff-version 3\nchrM\ttool\tCDS\t7\t450\t.\t-\t2\tID=orf1;gene=coat%20p;gene=rep+2\nchrM\ttool\tCDS\t12\t5\t.\t+\t0\tID=turned\n"
+    gb = 'FEATURES             Location/Qualifiers\n     tRNA            complement(61..140)\n                     /gene="trn"\n                     /note=short\n     odd             elsewhere\n'
+    bed = "seg 3 17 stem\nseg 620 9999\n"
+    got = {r.id: r for r in readers.annotations(texts(spark, gff, gb, bed), 700).collect()}
+    c = got["orf1"]
+    assert (c.type, c.feature_start, c.feature_end, c.strand, c.phase, c.name, c.source) == ("CDS", 6, 450, "-", 2, "rep+2", "tool")
     g = got["f1-1"]
-    assert (g.type, g.feature_start, g.feature_end, g.strand, g.name) == ("gene", 299, 900, "-", "abc")
-    assert g.attributes == {"location": "complement(300..900)", "gene": "abc", "note": "x"}
-    assert (got["f2-1"].feature_start, got["f2-1"].feature_end, got["f2-1"].name) == (10, 40, "leader")
-    assert (got["f2-2"].feature_end, got["f2-2"].name) == (3000, "region 2") and len(got) == 4
+    assert (g.type, g.feature_start, g.feature_end, g.strand, g.name) == ("tRNA", 60, 140, "-", "trn")
+    assert g.attributes == {"location": "complement(61..140)", "gene": "trn", "note": "short"}
+    assert (got["f2-1"].feature_start, got["f2-1"].feature_end, got["f2-1"].name) == (3, 17, "stem")
+    assert (got["f2-2"].feature_end, got["f2-2"].name) == (700, "region 2") and len(got) == 4
