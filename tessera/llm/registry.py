@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import forest, licenses, lm, mainhtml, mixing, near, pieces, quality, substring, toxicity
+from tessera.llm import forest, licenses, lm, mainhtml, mixing, near, pieces, quality, substring, toxicity, whitening
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_html_extraction": mainhtml.op9_html_extraction,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op11_whitening": whitening.op11_whitening,
 }
 ORACLE_SQL = {
     "op2_quality_rules": quality.ORACLE_SQL,
