@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import forest, licenses, lm, mainhtml, mixing, near, pieces, quality, substring, toxicity, whitening
+from tessera.llm import forest, licenses, lm, mainhtml, mixing, near, pieces, quality, substring, suffixes, toxicity, whitening
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
@@ -17,10 +17,12 @@ QUERIES = {
     "op9_html_extraction": mainhtml.op9_html_extraction,
     "op10_sentencepiece": pieces.op10_sentencepiece,
     "op11_whitening": whitening.op11_whitening,
+    "op12_suffix_array_dedup": suffixes.op12_suffix_array_dedup,
 }
 ORACLE_SQL = {
     "op2_quality_rules": quality.ORACLE_SQL,
     "op3_substring_dedup": substring.ORACLE_SQL,
     "op4_license_scan": licenses.ORACLE_SQL,
     "op6_minhash_near_dedup": near.ORACLE_SQL,
+    "op12_suffix_array_dedup": suffixes.ORACLE_SQL,
 }
