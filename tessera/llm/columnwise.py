@@ -5,7 +5,7 @@ that of all suffixes of up to j symbols.  The suffix a round adds to a string be
 place is found by counting: all suffixes that begin with smaller symbols, and the equal symbols above the last place.
 Transform and common prefixes lie in files that a round reads from start to end and writes anew.
 
-A symbol is STRIDE bytes, and a string is entered STRIDE times, without its last 0, 1, ... bytes, so that a suffix from any byte is there:
+A symbol is ``stride`` bytes, and a string is entered ``stride`` times, without its last 0, 1, ... bytes, so that a suffix from any byte is there:
 a round rewrites the files, and wide symbols make the rounds few.
 
 Strings are bytes without 0xFF (as UTF-8 is).  Symbol 0 stands for the end of a string; the ends differ from one
@@ -19,9 +19,8 @@ from typing import Self
 
 import numpy as np
 
-#: Bytes of a symbol: it and a place share 64 bits.
-STRIDE = 5
-PLACE_BITS = 24
+#: Bytes of a symbol: it and a place share 64 bits.  Collections of more symbols than a place has bits for take narrower ones.
+STRIDES = (5, 4, 2)
 #: Symbols of a string at most, as common prefixes are kept in a byte.
 LONGEST = 250
 
@@ -50,7 +49,7 @@ class Sequential:
         self._old, self._new = self._new, self._old
 
 
-def columns(strings: list[bytes], stride: int = STRIDE) -> np.ndarray:
+def columns(strings: list[bytes], stride: int) -> np.ndarray:
     """The symbols of the strings, a column a string, from their ends on and then 0; first all strings as they are, then all without their last byte, and so on."""
     length = np.array([len(s) for s in strings])
     longest = -(-int(length.max()) // stride) * stride
@@ -93,30 +92,29 @@ def _inserted(old: np.ndarray, at: np.ndarray, new: np.ndarray) -> np.ndarray:
 class _Ordered:
     """The places of a transform by symbol, then place: one packed number each.  ``scratch`` keeps the memory of the round before."""
 
-    def __init__(self, symbols: np.ndarray, scratch: dict[str, np.ndarray]):
-        if len(symbols) >= 1 << PLACE_BITS:
-            raise ValueError("a collection has more symbols than places have bits")
+    def __init__(self, symbols: np.ndarray, stride: int, scratch: dict[str, np.ndarray]):
+        self.bits = np.uint64(64 - 8 * stride)
         if len(scratch.get("count", ())) < len(symbols):
             room = len(symbols) + (len(symbols) >> 2)
             scratch["count"], scratch["keys"] = np.arange(room, dtype=np.uint64), np.empty(room, np.uint64)
         self.keys = scratch["keys"][: len(symbols)]
-        np.left_shift(symbols, np.uint64(PLACE_BITS), out=self.keys)
+        np.left_shift(symbols, self.bits, out=self.keys)
         self.keys |= scratch["count"][: len(symbols)]
         self.keys.sort()
         self.ended = len(symbols) - int(np.count_nonzero(symbols))
 
     def place(self, turn: np.ndarray | slice) -> np.ndarray:
-        return (self.keys[turn] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        return (self.keys[turn] & ((np.uint64(1) << self.bits) - np.uint64(1))).astype(np.int64)
 
     def symbol(self, turn: np.ndarray) -> np.ndarray:
-        return self.keys[turn] >> np.uint64(PLACE_BITS)
+        return self.keys[turn] >> self.bits
 
     def turns(self, symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Where these symbols at these places stand."""
-        return np.searchsorted(self.keys, (symbols << np.uint64(PLACE_BITS)) | places.astype(np.uint64))
+        return np.searchsorted(self.keys, (symbols << self.bits) | places.astype(np.uint64))
 
 
-def construct(strings: list[bytes], stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+def construct(strings: list[bytes], stride: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The transform, and for each suffix the symbols it shares with the one before it."""
     with Sequential(np.uint64) as transform, Sequential(np.uint8) as shared:
         column, m = columns(strings, stride), stride * len(strings)
@@ -129,7 +127,7 @@ def construct(strings: list[bytes], stride: int = STRIDE) -> tuple[np.ndarray, n
             place, string = place[goes_on], string[goes_on]
             if not len(place):
                 break
-            ordered = _Ordered(symbols, scratch)
+            ordered = _Ordered(symbols, stride, scratch)
             turn = ordered.turns(symbols[place], place)
             sorting = np.argsort(turn)
             turn, string, last = turn[sorting], string[sorting], place[sorting]
@@ -149,7 +147,13 @@ def construct(strings: list[bytes], stride: int = STRIDE) -> tuple[np.ndarray, n
         return transform.read(), shared.read()
 
 
-def windows(strings: list[bytes], width: int, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def widest_stride(strings: list[bytes], width: int) -> int:
+    """Bytes a symbol may have so that windows are whole symbols and the places of all suffixes fit beside them."""
+    size = sum(map(len, strings))
+    return next((s for s in STRIDES if width % s == 0 and size + s * len(strings) < 1 << (64 - 8 * s)), 1)
+
+
+def windows(strings: list[bytes], width: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Every substring of ``width`` bytes (a number of whole symbols): its string, its first byte and its class; equal ones, and only they, are of one class.
 
     Rows are in the order of the suffixes, so a class is a run of them."""
@@ -157,7 +161,7 @@ def windows(strings: list[bytes], width: int, stride: int = STRIDE) -> tuple[np.
         raise ValueError(f"a window must be a multiple of {stride} bytes")
     symbols, prefixes = construct(strings, stride)
     m = stride * len(strings)
-    ordered = _Ordered(symbols, {})
+    ordered = _Ordered(symbols, stride, {})
     step = np.zeros(len(symbols), np.int64)
     step[ordered.place(slice(ordered.ended, None))] = m + np.arange(len(symbols) - ordered.ended)
     string, first = np.full(len(symbols), -1, np.int32), np.zeros(len(symbols), np.int32)

@@ -7,7 +7,7 @@ the smallest place (doc_id, then byte) of a class is the one that stays.
 
 1. Sieve.  A window's anchor is the smallest hash among its GRAM-byte strings, the first of equal ones.  Equal windows have equal anchors, so
    only windows whose anchor is found twice can be repeats.  A block of documents asks each distinct anchor once.
-2. Fingerprints, for hot anchors only.  Where more than ``hot_blocks`` blocks hold an anchor (a common line in
+2. Fingerprints, for hot anchors only.  Where an anchor begins more than ``hot_runs`` runs of windows (a common line in
    ever new surroundings), its windows are asked too, by a hash of the window, spread over all buckets; those found once go.
 3. Pieces.  Neighbouring windows of one anchor make a piece (LONGEST_RUN windows at most).  Equal pieces of a block are one, with the smallest place;
    equal pieces of a bucket too.  The bucket builds transforms of about ``collection`` bytes of pieces, anchors never divided (a piece alone with its anchor has no equal), and answers
@@ -41,7 +41,8 @@ WIDTH = 100
 GRAM = 32
 LONGEST_RUN = 100
 COLLECTION = 1 << 20
-HOT_BLOCKS = 64
+#: Pieces of an anchor are at most so many, of 200 bytes at most; beyond, fingerprints thin them out first.
+HOT_RUNS = 1 << 15
 #: Bytes of text hashed at once.
 PORTION = 1 << 18
 NO_ID = np.iinfo(np.int64).max
@@ -50,8 +51,8 @@ MESSAGE = "bucket int, block int, kind int, keys binary, docs binary, starts bin
 _MESSAGE = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("keys", "docs", "starts", "sizes", "body"))])
 SPANS = "doc_id long, n_bytes long, n_removed long, spans array<struct<first:long,last:long>>, kept binary, kept_sha256 string"
 _SPANS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("kept", pa.binary()), ("kept_sha256", pa.string())])
-#: Kinds of messages: anchors asked and told, fingerprints asked and told, pieces asked and told.
-ANCHORS, PRINTS, PIECES = 0, 1, 2
+#: Kinds of messages, asked and told; TOLD less the kind for what only goes on.
+ANCHORS, PRINTS, PIECES, TOLD = 0, 1, 2, 9
 UNSHARED, SHARED, HOT = 0, 1, 2
 
 
@@ -60,7 +61,7 @@ class Shape:
     width: int = WIDTH
     gram: int = GRAM
     collection: int = COLLECTION
-    hot_blocks: int = HOT_BLOCKS
+    hot_runs: int = HOT_RUNS
 
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -83,6 +84,17 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
+_numbers = np.zeros(0, U)
+
+
+def _count(n: int) -> np.ndarray:
+    """0 to n - 1, kept from call to call."""
+    global _numbers
+    if len(_numbers) < n:
+        _numbers = np.arange(n, dtype=U)
+    return _numbers[:n]
+
+
 def _content_keys(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of the ``width`` bytes at each place."""
     out, words = np.full(len(at), U(width)), width // 8
@@ -109,20 +121,24 @@ class Runs:
         self.row, self.first, self.count, self.key, self.many = none, none, none, np.zeros(0, U), np.zeros(0, bool)
         if n < width:
             return
-        hashes = _gram_hashes(self.data, gram).astype(U) << U(32)
-        anchor = _sliding_min(hashes | np.arange(len(hashes), dtype=U), width - gram + 1)
-        lasting = np.diff(self.offsets) >= width
-        whole = np.zeros(n + 1, np.int8)
-        whole[self.offsets[:-1][lasting]] += 1
-        whole[self.offsets[1:][lasting] - width + 1] -= 1
-        inside = np.flatnonzero(np.cumsum(whole[: len(anchor)], dtype=np.int8))
-        if not len(inside):
+        anchor = _gram_hashes(self.data, gram).astype(U)
+        anchor <<= U(32)
+        anchor |= _count(len(anchor))
+        anchor = _sliding_min(anchor, width - gram + 1)
+        ends = self.offsets[1:] - width + 1
+        lasting = ends > self.offsets[:-1]
+        edges = np.zeros(n + 1, np.int8)
+        edges[self.offsets[:-1][lasting]] += 1
+        edges[ends[lasting]] -= 1
+        inside = np.cumsum(edges[: len(anchor)], dtype=np.int8).astype(bool)
+        new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+        new[1:] |= inside[1:] > inside[:-1]
+        first = np.flatnonzero(new & inside)
+        if not len(first):
             return
-        anchor = anchor[inside]
-        turn = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (np.diff(inside) > 1)]))
-        key = _content_keys(self.data, (anchor[turn] & U(0xFFFFFFFF)).astype(np.int64), gram)
-        first, row = inside[turn], np.searchsorted(self.offsets, inside[turn], "right") - 1
-        count = np.diff(np.append(turn, len(inside)))
+        key = _content_keys(self.data, (anchor[first] & U(0xFFFFFFFF)).astype(np.int64), gram)
+        row = np.searchsorted(self.offsets, first, "right") - 1
+        count = np.minimum(np.append(first[1:], n), ends[row]) - first
         # neighbours of one key (a period) are one run, which holds its anchor twice
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])
         at = np.flatnonzero(new)
@@ -162,22 +178,22 @@ def _sent(block: int, kind: int, keys: np.ndarray, n_buckets: int, **columns: np
     return [{"bucket": int(b), "block": block, "kind": kind, "keys": press(pack_sorted(keys[a:e]))} | {c: press(planes(x[a:e])) for c, x in columns.items()} for b, a, e in own]
 
 
-def _asked_keys(keys: list[np.ndarray], many: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and whether each is held more than once."""
-    every, twice = np.concatenate([np.zeros(0, U), *keys]), np.concatenate([np.zeros(0, bool), *many])
+def _asked_keys(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often each is held."""
+    every, held = np.concatenate([np.zeros(0, U), *keys]), np.concatenate([np.zeros(0), *times])
     if not len(every):
-        return every, twice
+        return every, held.astype(np.uint16)
     distinct, place = distinct_places(every)
-    return distinct, (np.bincount(place) > 1) | (np.bincount(place, weights=twice) > 0)
+    return distinct, np.minimum(np.bincount(place, weights=held), 65535).astype(np.uint16)
 
 
-def _answered_keys(rows: list[dict], kind: int, hot_blocks: int) -> list[dict]:
-    """Tells each block, in the order of its keys, which are shared and which are hot."""
+def _answered_keys(rows: list[dict], kind: int, hot_runs: int) -> list[dict]:
+    """Tells each block, in the order of its keys, which are held more than once and which are hot."""
     keys = [unpack_sorted(unpress(r["keys"])) for r in rows]
-    many = np.concatenate([unplanes(unpress(r["sizes"]), np.uint8) for r in rows])
-    distinct, place = distinct_places(np.concatenate(keys))
-    holders = np.bincount(place)
-    told = np.where(holders > hot_blocks, HOT, np.where((holders > 1) | (np.bincount(place, weights=many) > 0), SHARED, UNSHARED)).astype(np.uint8)[place]
+    held = np.concatenate([unplanes(unpress(r["sizes"]), np.uint16) for r in rows])
+    _, place = distinct_places(np.concatenate(keys))
+    total = np.bincount(place, weights=held)
+    told = np.where(total > hot_runs, HOT, np.where(total > 1, SHARED, UNSHARED)).astype(np.uint8)[place]
     cuts = np.cumsum([0, *map(len, keys)])
     return [{"bucket": r["bucket"], "block": r["block"], "kind": kind, "keys": b"hot" if (told[a:e] == HOT).any() else b"", "sizes": press(told[a:e].tobytes())} for r, a, e in zip(rows, cuts[:-1], cuts[1:], strict=True)]
 
@@ -196,7 +212,7 @@ class Block:
         self._pieces: list[tuple] | None = None
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        return _asked_keys([runs.key[named] for _, runs, named in self.parsed], [runs.many[named] for _, runs, named in self.parsed])
+        return _asked_keys([runs.key[named] for _, runs, named in self.parsed], [1.0 + runs.many[named] for _, runs, named in self.parsed])
 
     def _found(self) -> Iterator[tuple[np.ndarray, Runs, np.ndarray, np.ndarray]]:
         """Ids, runs, the runs on shared anchors, and which of these are hot."""
@@ -216,7 +232,7 @@ class Block:
 
     def prints(self) -> tuple[np.ndarray, np.ndarray]:
         keys = [self._windows(runs, own[hot])[2] for _, runs, own, hot in self._found()]
-        return _asked_keys(keys, [np.zeros(len(k), bool) for k in keys])
+        return _asked_keys(keys, [np.ones(len(k)) for k in keys])
 
     def pieces(self) -> list[tuple]:
         """Ids, runs; and of each piece that may hold repeats: row, place in the data, windows, key, and whether its anchor may stand in it more than once."""
@@ -224,7 +240,7 @@ class Block:
             return self._pieces
         found = list(self._found())
         hot_windows = [self._windows(runs, own[hot]) for _, runs, own, hot in found]
-        prints, _ = _asked_keys([w[2] for w in hot_windows], [np.zeros(len(w[2]), bool) for w in hot_windows])
+        prints, _ = _asked_keys([w[2] for w in hot_windows], [np.ones(len(w[2])) for w in hot_windows])
         shared = prints[_told_keys(self.told, PRINTS) > UNSHARED] if len(prints) else prints
         self._pieces = []
         for (ids, runs, own, hot), (of, at, own_prints) in zip(found, hot_windows, strict=True):
@@ -275,7 +291,7 @@ def _pieces_sent(block: int, place: dict[bytes, tuple[int, int]], keys: dict[byt
 
 def _first_windows(pieces: list[bytes], docs: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     """For every window of the pieces, in their order, whether it is the smallest place of its class."""
-    string, first, kind = columnwise.windows(pieces, width)
+    string, first, kind = columnwise.windows(pieces, width, columnwise.widest_stride(pieces, width))
     new = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
     of = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(kind))))
     doc, start = docs[string], starts[string] + first
@@ -375,8 +391,8 @@ def _cut(block: Block, n_buckets: int, kept: bool) -> pa.Table:
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shape: Shape = Shape(), block_bytes: int = blocks.BLOCK_BYTES, kept: bool = True) -> DataFrame:
     """One row a document: n_bytes, n_removed, the removed spans (bytes, half open), a digest of what is left, and with ``kept`` the bytes left."""
-    if not shape.gram <= shape.width or shape.width % columnwise.STRIDE:
-        raise ValueError(f"the gram must fit the window, and the window be a multiple of {columnwise.STRIDE} bytes")
+    if shape.gram > shape.width:
+        raise ValueError("the gram must fit the window")
     n_blocks, size = blocks.block_count(docs, text, block_bytes)
     n_buckets = blocks.bucket_count(docs, size // 16)
     dealt = docs.select(blocks.block_of(doc_id, text, n_blocks).alias("block"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -384,40 +400,38 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     by_block = blocks.packed(dealt).groupBy("block")
 
     def ask_anchors(key, texts):
-        keys, many = Block(texts, schema, None, shape).anchors()
-        return _table(_sent(key[0].as_py(), ANCHORS, keys, n_buckets, sizes=many.astype(np.uint8)))
-
-    def answer(asked):
-        rows = asked.to_pylist()
-        passed, rows = [r for r in rows if r["kind"] < 0], [r for r in rows if r["kind"] >= 0]
-        passed = [r | {"kind": -r["kind"] - 1} for r in passed]
-        if not rows:
-            return _table(passed)
-        kind = rows[0]["kind"]
-        return _table([*passed, *(_answered_pieces(rows, shape) if kind == PIECES else _answered_keys(rows, kind, shape.hot_blocks))])
-
-    def go_on(told):
-        # what a block has been told passes through the bucket that told it
-        return [r | {"kind": -r["kind"] - 1} for r in told.to_pylist()]
+        keys, held = Block(texts, schema, None, shape).anchors()
+        return _table(_sent(key[0].as_py(), ANCHORS, keys, n_buckets, sizes=held))
 
     def ask_prints(key, texts, told):
-        keys, many = Block(texts, schema, told, shape).prints()
-        return _table([*go_on(told), *_sent(key[0].as_py(), PRINTS, keys, n_buckets, sizes=many.astype(np.uint8))])
+        rows = go_on(told)
+        if any(r["keys"] for r in rows):
+            keys, held = Block(texts, schema, told, shape).prints()
+            rows += _sent(key[0].as_py(), PRINTS, keys, n_buckets, sizes=held)
+        return _table(rows)
 
     def ask_pieces(key, texts, told):
-        rows = _pieces_sent(key[0].as_py(), *Block(texts, schema, told, shape).distinct(), n_buckets)
-        return _table([*go_on(told), *rows])
+        return _table([*go_on(told), *_pieces_sent(key[0].as_py(), *Block(texts, schema, told, shape).distinct(), n_buckets)])
 
     def cut(key, texts, told):
         return _cut(Block(texts, schema, told, shape), n_buckets, kept)
 
+    def go_on(told):
+        # what a block has been told goes on with its next question, so that the plan is one and its exchanges are used again
+        return [r | {"kind": TOLD - r["kind"]} for r in told.to_pylist()]
+
+    def answer(asked):
+        rows = asked.to_pylist()
+        out, rows = [r | {"kind": TOLD - r["kind"]} for r in rows if r["kind"] > PIECES], [r for r in rows if r["kind"] <= PIECES]
+        if rows:
+            out += _answered_pieces(rows, shape) if rows[0]["kind"] == PIECES else _answered_keys(rows, rows[0]["kind"], shape.hot_runs)
+        return _table(out)
+
     def answered(asked: DataFrame) -> DataFrame:
         return asked.groupBy("bucket").applyInArrow(answer, MESSAGE)
 
-    told = blocks.cut_lineage(answered(by_block.applyInArrow(ask_anchors, MESSAGE)))
-    # a bucket with a hot anchor says so in "keys"; mostly there is none, and the fingerprints need not be asked
-    if not told.where("length(keys) > 0").isEmpty():
-        told = answered(by_block.cogroup(told.groupBy("block")).applyInArrow(ask_prints, MESSAGE))
+    told = answered(by_block.applyInArrow(ask_anchors, MESSAGE))
+    told = answered(by_block.cogroup(told.groupBy("block")).applyInArrow(ask_prints, MESSAGE))
     told = answered(by_block.cogroup(told.groupBy("block")).applyInArrow(ask_pieces, MESSAGE))
     return by_block.cogroup(told.groupBy("block")).applyInArrow(cut, SPANS)
 

@@ -44,6 +44,15 @@ def test_windows_of_a_class_are_equal_and_all_are_there(width, stride):
             assert all(len(t) == 1 for t in texts.values()) and len(set.union(*texts.values())) == len(texts)
 
 
+def test_large_collections_take_narrow_symbols():
+    class Long(bytes):
+        def __len__(self):
+            return 1 << 20
+
+    assert [columnwise.widest_stride([Long()] * n, 100) for n in (1, 15, 17, 5000)] == [5, 5, 4, 2]
+    assert columnwise.widest_stride([b"abc"], 7) == 1
+
+
 def brute(rows, width):
     seen = {}
     for i, t in rows:
@@ -73,11 +82,11 @@ def corpus():
     return [*rows, (100, None), (101, ""), (102, "a" * 900), (103, "abc" * 300), (None, base), (5, base), (5, base), (104, base), (-3, base[50:]), (105, "😀日" * 20)]
 
 
-@pytest.mark.parametrize(("hot_blocks", "block_bytes", "collection"), [(64, 2000, 2000), (1, 300, 500)])
-def test_repeated_spans_equal_brute_force(spark, hot_blocks, block_bytes, collection):
+@pytest.mark.parametrize(("hot_runs", "block_bytes", "collection"), [(1000, 2000, 2000), (1, 300, 500)])
+def test_repeated_spans_equal_brute_force(spark, hot_runs, block_bytes, collection):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in rows], "doc_id long, text string, n_bytes int, bucket string, spans string").repartition(3)
-    got = suffixes.repeated_spans(docs, shape=suffixes.Shape(20, 6, collection, hot_blocks), block_bytes=block_bytes).collect()
+    got = suffixes.repeated_spans(docs, shape=suffixes.Shape(20, 6, collection, hot_runs), block_bytes=block_bytes).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got), key=str) == brute(rows, 20)
     for r in got:
         assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and sum(s.last - s.first for s in r.spans) == r.n_removed
