@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import forest, licenses, lm, mainhtml, mixing, near, pieces, quality, substring, suffixes, toxicity, whitening
+from tessera.llm import forest, licenses, lm, mainhtml, mixing, near, phrases, pieces, quality, substring, suffixes, toxicity, whitening
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_sentencepiece": pieces.op10_sentencepiece,
     "op11_whitening": whitening.op11_whitening,
     "op12_suffix_array_dedup": suffixes.op12_suffix_array_dedup,
+    "op13_phrase_mining": phrases.op13_phrase_mining,
 }
 ORACLE_SQL = {
     "op2_quality_rules": quality.ORACLE_SQL,
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op4_license_scan": licenses.ORACLE_SQL,
     "op6_minhash_near_dedup": near.ORACLE_SQL,
     "op12_suffix_array_dedup": suffixes.ORACLE_SQL,
+    "op13_phrase_mining": phrases.ORACLE_SQL,
 }
