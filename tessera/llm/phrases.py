@@ -59,8 +59,7 @@ VERTICAL = "block int, words array<binary>, langs array<string>, keys binary, la
 _VERTICAL = pa.schema([("block", pa.int32()), ("words", pa.list_(pa.binary())), ("langs", pa.list_(pa.string())), *((c, pa.binary()) for c in ("keys", "lang_of", "entries", "chunks", "bits"))])
 FOUND = "lang string, phrase string, a long, n long, l array<long>, r array<long>"
 _FOUND = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("a", pa.int64()), ("n", pa.int64()), ("l", pa.list_(pa.int64())), ("r", pa.list_(pa.int64()))])
-#: Kinds of messages are the shortest phrase asked; TOLD less the kind for what only goes on.
-TOLD = 99
+#: Kinds of messages are the shortest phrase asked.
 
 
 def lang_key(lang: str) -> int:
@@ -343,38 +342,31 @@ def candidates(docs: DataFrame, text: str = "text", lang: str = "lang", least: i
     def ask_words(key, texts):
         return table(_sent(key[0].as_py(), 1, *word_counts(blocks.unpacked(texts, schema)), n_buckets))
 
-    def answer(asked):
-        rows = asked.to_pylist()
-        out, rows = [r | {"kind": TOLD - r["kind"]} for r in rows if r["kind"] > LONGEST], [r for r in rows if r["kind"] <= LONGEST]
-        return table(out + (_answer(rows, least) if rows else []))
-
     def answered(asked: DataFrame) -> DataFrame:
-        return asked.groupBy("bucket").applyInArrow(answer, MESSAGE)
+        return asked.groupBy("bucket").applyInArrow(lambda rows: table(_answer(rows.to_pylist(), least)), MESSAGE)
 
     def upright(key, texts, told):
         if not texts.num_rows or not told.num_rows:
             return _VERTICAL.empty_table()
         return pa.Table.from_pylist([Vertical.row(key[0].as_py(), blocks.unpacked(texts, schema), Told(told.to_pylist()).keys(1))], schema=_VERTICAL)
 
-    def asking(kind: int, told: DataFrame) -> DataFrame:
-        def ask(key, state, told):
-            if not state.num_rows:
-                return _MESSAGE.empty_table()
-            rows = told.to_pylist()
-            found = phrase_counts(Vertical(state.to_pylist()[0]), Told(rows), kind)
-            # what a block has been told goes on with its next question, so that the plan is one
-            return table([r | {"kind": TOLD - r["kind"]} for r in rows] + _sent(key[0].as_py(), kind, *found, n_buckets))
-
-        return answered(state.cogroup(told.groupBy("block")).applyInArrow(ask, MESSAGE))
+    def ask(kind: int, key, state: pa.Table, told: list[dict]) -> pa.Table:
+        if not state.num_rows:
+            return _MESSAGE.empty_table()
+        return table(_sent(key[0].as_py(), kind, *phrase_counts(Vertical(state.to_pylist()[0]), Told(told), kind), n_buckets))
 
     def finish(key, state, told):
         return report(Vertical(state.to_pylist()[0]), Told(told.to_pylist())) if state.num_rows else _FOUND.empty_table()
 
-    told = answered(by_block.applyInArrow(ask_words, MESSAGE))
-    state = by_block.cogroup(told.groupBy("block")).applyInArrow(upright, VERTICAL).groupBy("block")
-    for kind in (2, 3, 4):
-        told = asking(kind, told)
-    return state.cogroup(told.groupBy("block")).applyInArrow(finish, FOUND)
+    # one plan: the texts, the bitmaps and the questions of a round are exchanged once and read by all that need them
+    words = answered(by_block.applyInArrow(ask_words, MESSAGE))
+    state = by_block.cogroup(words.groupBy("block")).applyInArrow(upright, VERTICAL).groupBy("block")
+    pairs = answered(state.applyInArrow(lambda key, state: ask(2, key, state, []), MESSAGE))
+    triples = answered(state.cogroup(pairs.groupBy("block")).applyInArrow(lambda key, state, told: ask(3, key, state, told.to_pylist()), MESSAGE))
+    short = pairs.unionByName(triples)
+    long = answered(state.cogroup(short.groupBy("block")).applyInArrow(lambda key, state, told: ask(4, key, state, told.to_pylist()), MESSAGE))
+    every = short.unionByName(words).unionByName(long)
+    return state.cogroup(every.groupBy("block")).applyInArrow(finish, FOUND)
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
