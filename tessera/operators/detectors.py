@@ -158,12 +158,17 @@ def _siegmund() -> str:
     return f"(1 - exp(-{nu} * {nu} * {p2}))"
 
 
+def descent_p() -> str:
+    """The approximate tail probability of a descent, over up, down and descent."""
+    ok = "up > 0 AND down > 0 AND 2 * (descent - 0.5) - (down - up) > 0"
+    return f"CASE WHEN {ok} THEN greatest(CAST(1E-300 AS DOUBLE), least(CAST(1 AS DOUBLE), {_siegmund()})) ELSE CAST(1 AS DOUBLE) END"
+
+
 @view("signals", "descents")
 def _(d: SparkDialect) -> str:
     """Descents of four or more as detections: recombinant, parents, tract and an approximate tail probability."""
-    ok = "up > 0 AND down > 0 AND 2 * (descent - 0.5) - (down - up) > 0"
     return f"""SELECT concat(CAST(a AS {'STRING' if d.name == 'spark' else 'VARCHAR'}), '-', CAST(b AS {'STRING' if d.name == 'spark' else 'VARCHAR'}), '-', CAST(c AS {'STRING' if d.name == 'spark' else 'VARCHAR'}), '-', CAST(target AS {'STRING' if d.name == 'spark' else 'VARCHAR'})) AS event_id, CASE target WHEN 0 THEN c WHEN 1 THEN a ELSE b END AS recombinant, CASE target WHEN 0 THEN a WHEN 1 THEN b ELSE c END AS major, CASE target WHEN 0 THEN b WHEN 1 THEN c ELSE a END AS minor,
-tract_start, tract_end, up, down, descent, CASE WHEN {ok} THEN greatest(CAST(1E-300 AS DOUBLE), least(CAST(1 AS DOUBLE), {_siegmund()})) ELSE CAST(1 AS DOUBLE) END AS p FROM descents WHERE descent >= 4"""
+tract_start, tract_end, up, down, descent, {descent_p()} AS p FROM descents WHERE descent >= 4"""
 
 
 @operator("three_seq_siegmund", "signals")

@@ -37,7 +37,9 @@ def sequences(sites: DataFrame) -> tuple[DataFrame, int, int]:
         return pa.table({"seq_id": pa.array([key[0].as_py()], pa.int64()), "bases": pa.array([out.tobytes()], pa.binary())})
 
     whole = sites.groupBy("seq_id").applyInArrow(fill, "seq_id long, bases binary")
-    return whole.withColumn("number", F.row_number().over(Window.orderBy("seq_id")) - 1), n, length
+    # only the ids are numbered in one place, not the bases
+    numbers = sites.select("seq_id").distinct().withColumn("number", F.row_number().over(Window.orderBy("seq_id")) - 1)
+    return whole.join(numbers, "seq_id"), n, length
 
 
 def unrank(rank: np.ndarray, size: int) -> np.ndarray:
@@ -74,6 +76,69 @@ def combinations(sites: DataFrame, size: int) -> DataFrame:
     return spark.range(0, total, 1, min(tasks, max(1, total))).mapInArrow(run, ", ".join(f"n{k} long" for k in range(size)))
 
 
+def touching(rows: DataFrame, n: int, length: int, affected: int, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], columns: str) -> DataFrame:
+    """Runs a kernel on all triplets of n rows (row_id, origin, number, bases) that have one of the last ``affected`` numbers and three different origins.
+
+    The numbers of such triplets are the end of the range of all combinations, so no other triplet is made.  A kernel takes many triplets
+    (triplets, 3, sites), each by rising row_id, and gives columns; "triplet" says which one a value is of."""
+    first, total, spark = math.comb(n - affected, 3), math.comb(n, 3), rows.sparkSession
+    tasks = max(1, min(4 * spark.sparkContext.defaultParallelism, (total - first) // 256), (total - first) // 8192)
+    near = F.broadcast if n * length <= MOST_BROADCAST else (lambda table: table)
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = unrank(b.column("id").to_numpy(), 3)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(3)], names=["n0", "n1", "n2"])
+
+    triplets = spark.range(first, total, 1, tasks).mapInArrow(numbers, "n0 long, n1 long, n2 long")
+    for k in range(3):
+        own = rows.select(F.col("number").cast("long").alias(f"n{k}"), F.col("row_id").alias(f"row_{k}"), F.col("origin").alias(f"origin_{k}"), F.col("bases").alias(f"bases_{k}"))
+        triplets = triplets.join(near(own), f"n{k}")
+    triplets = triplets.where("origin_0 <> origin_1 and origin_0 <> origin_2 and origin_1 <> origin_2")
+    declared = f"a long, b long, c long, {columns}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_once = max(1, (1 << 20) // max(length, 1))
+        for whole in batches:
+            for start in range(0, whole.num_rows, at_once):
+                batch = whole.slice(start, at_once)
+                ids = np.stack([batch.column(f"row_{k}").to_numpy() for k in range(3)], axis=1)
+                order = np.argsort(ids, axis=1)
+                bases = np.stack([np.frombuffer(b"".join(batch.column(f"bases_{k}").to_pylist()), np.uint8).reshape(-1, length) for k in range(3)], axis=1)
+                found = kernel(np.take_along_axis(bases, order[:, :, None], axis=1))
+                ids = np.take_along_axis(ids, order, axis=1)[found.pop("triplet")]
+                yield pa.RecordBatch.from_arrays([*(pa.array(ids[:, k]) for k in range(3)), *(pa.array(x) for x in found.values())], names=["a", "b", "c", *found])
+
+    return triplets.select(*(f"{c}_{k}" for k in range(3) for c in ("row", "bases"))).mapInArrow(run, declared)
+
+
+WALKS = "target int, up int, down int, descent int, tract_start int, tract_end int"
+
+
+def walks(bases: np.ndarray) -> dict[str, np.ndarray]:
+    """The largest descent of the walk of each target of each triplet: a step up where the target equals one parent alone, down where it equals the other."""
+    a, b, c = bases[:, 0], bases[:, 1], bases[:, 2]
+    whole = (bases < 4).all(axis=1)
+    ab, ac, bc = (whole & (x == y) & (x != z) for x, y, z in ((a, b, c), (a, c, b), (b, c, a)))
+    out: dict[str, list[np.ndarray]] = {k: [] for k in ("triplet", "target", "up", "down", "descent", "tract_start", "tract_end")}
+    site = np.arange(bases.shape[2], dtype=np.int32)
+    for target, (rise, fall) in enumerate(((ac, bc), (ab, ac), (bc, ab))):
+        height = np.cumsum(rise.astype(np.int32) - fall, axis=1)
+        peak = np.maximum(np.maximum.accumulate(height, axis=1), 0)
+        before = np.concatenate([np.zeros((len(bases), 1), np.int32), peak[:, :-1]], axis=1)
+        drop = peak - height
+        end = drop.argmax(axis=1)
+        # the last new height at or before the end of the descent; the descent starts at the next step
+        record = np.where(height > before, site, -1)
+        last = np.maximum.accumulate(record, axis=1)[np.arange(len(bases)), end]
+        start = ((rise | fall) & (site > last[:, None])).argmax(axis=1)
+        deepest = drop[np.arange(len(bases)), end]
+        own = np.flatnonzero(deepest > 0)
+        for name, x in (("triplet", own), ("target", np.full(len(own), target)), ("up", rise.sum(axis=1)[own]), ("down", fall.sum(axis=1)[own]), ("descent", deepest[own]), ("tract_start", start[own]), ("tract_end", end[own] + 1)):
+            out[name].append(x if name == "triplet" else x.astype(np.int32))
+    return {k: np.concatenate(x) for k, x in out.items()}
+
+
 def scan_triplets(sites: DataFrame, detector: Callable[[np.ndarray], list[tuple]], columns: str, names: list[str]) -> DataFrame:
     """Runs a detector on each triplet: from a matrix of three rows of bases to rows of ``columns``; a, b and c are put before them."""
     whole, n, length = sequences(sites)

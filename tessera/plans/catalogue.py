@@ -10,6 +10,6 @@ from tessera.sources import formats, roundtrips
 __all__ = ["OPERATORS", "ORACLE_SQL", "QUERIES", "alignment", "detectors", "formats", "intervals", "kernels", "review", "roles"]
 QUERIES = {name: op.query() for name, op in OPERATORS.items()}
 QUERIES |= kernels.QUERIES | roundtrips.QUERIES
-QUERIES["cyclic_events"] = lambda spark, sf_dir: cyclic_events(spark, kernels.alignment_of(spark, sf_dir), extract=False)
+QUERIES["cyclic_events"] = lambda spark, sf_dir: cyclic_events(spark, kernels.alignment_of(spark, sf_dir), alpha=0.001)
 ORACLE_SQL = {name: op.duckdb() for name, op in OPERATORS.items()}
 ORACLE_SQL |= {name: roundtrips.READ_BACK.duckdb() for name in roundtrips.QUERIES}
