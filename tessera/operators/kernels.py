@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import scans
+from tessera.operators import fragments, scans
 from tessera.plans.operator import Operator
 
 SEED = 1511506142
@@ -124,56 +124,6 @@ def window_trees(sites: DataFrame, width: int = 60, replicates: int = 0) -> Data
     return sites.withColumn("win", F.floor(F.col("site") / width).cast("int")).groupBy("win").applyInPandas(lambda key, rows: run(key, rows), "win int, newick string, members string, support double")
 
 
-def geneconv_fragments(ranks: DataFrame, scale: float = 1.0) -> DataFrame:
-    """Best-scoring fragments of the six tracks of each triplet with a mismatch penalty, and their tail probability."""
-    positive = ((0,), (1,), (2,), (2, 6), (1, 6), (0, 6))
-
-    def fragments(score: np.ndarray) -> list[tuple[int, int, float]]:
-        total = np.concatenate([[0.0], np.cumsum(score)])
-        out, spans = [], [(0, len(score))]
-        while spans:  # the best of a span, then what is left on both sides
-            a, e = spans.pop()
-            if e - a < 4:
-                continue
-            low = np.minimum.accumulate(total[a:e])
-            gain = total[a + 1 : e + 1] - low
-            end = int(np.argmax(gain))
-            if gain[end] < 4:
-                continue
-            start = int(np.flatnonzero(total[a : a + end + 1] == low[end])[-1])
-            out.append((a + start, a + end + 1, float(gain[end])))
-            spans += [(a, a + start), (a + end + 1, e)]
-        return out
-
-    def tail(n: int, misses: int, penalty: float, score: float) -> float:
-        p, q = misses / n, 1 - misses / n
-        z = math.exp(2 * math.log(penalty * p / q) / (penalty + 1)) if penalty * p > q else 1 + 1e-9
-        for _ in range(60):  # the root above 1 of q z + p z ** -penalty = 1
-            step = (q * z + p * z**-penalty - 1) / (q - p * penalty * z ** (-penalty - 1))
-            z -= step
-            if abs(step) < 1e-13:
-                break
-        if not z > 1:
-            return 1.0
-        k = (z - 1) * (q - penalty * p * z ** (-penalty - 1))
-        ka = math.log(z) * score - math.log(max(k * n, 1e-300))
-        return float(min(1.0, -math.expm1(-math.exp(-ka)) if ka < 32 else math.exp(-ka)))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rank")
-        a, b, c, n = int(rows.a.iat[0]), int(rows.b.iat[0]), int(rows.c.iat[0]), len(rows)
-        category, site, out = rows.category.to_numpy(), rows.site.to_numpy(), []
-        for track, hits in enumerate(positive):
-            match = np.isin(category, hits)
-            misses = max(int((~match).sum()), 1)
-            penalty = math.floor(n * scale / misses) + 1
-            if match.any():
-                out += [(a, b, c, track, int(site[s]), int(site[e - 1]) + 1, x, tail(n, misses, penalty, x)) for s, e, x in fragments(np.where(match, 1.0, -float(penalty)))]
-        return pd.DataFrame(out, columns=["a", "b", "c", "track", "start", "end", "score", "p"])
-
-    return spread(ranks, "a", "b", "c").groupBy("a", "b", "c").applyInPandas(run, "a long, b long, c long, track int, start int, end int, score double, p double")
-
-
 def hidden_states(informative: DataFrame, switch: float = 0.01, rounds: int = 8) -> DataFrame:
     """Two-parent ancestry along each triplet: Viterbi paths of a three-state model trained on them, as runs of one state."""
 
@@ -291,7 +241,7 @@ QUERIES = {
     "three_seq_exact": lambda spark, sf_dir: three_seq_exact(frame(spark, "signals", **_tables(spark, sf_dir))),
     "nj_newick": lambda spark, sf_dir: window_trees(frame(spark, "sites", **_tables(spark, sf_dir))).select("win", "newick"),
     "bootstrap_trees": lambda spark, sf_dir: window_trees(frame(spark, "sites", **_tables(spark, sf_dir)), replicates=100),
-    "geneconv_fragments": lambda spark, sf_dir: geneconv_fragments(frame(spark, "variable_ranks", **_tables(spark, sf_dir))),
+    "geneconv_fragments": lambda spark, sf_dir: fragments.fragments(alignment_of(spark, sf_dir)),
     "hmm_states": lambda spark, sf_dir: hidden_states(frame(spark, "informative", **_tables(spark, sf_dir))),
     "bootscan_support": lambda spark, sf_dir: bootscan_support(frame(spark, "columns", **_tables(spark, sf_dir))),
     "siscan_z": lambda spark, sf_dir: window_z(frame(spark, "columns", **_tables(spark, sf_dir))),

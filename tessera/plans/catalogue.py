@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.operators import alignment, detectors, intervals, kernels, review, roles
+from tessera.operators import alignment, detectors, identity, intervals, kernels, review, roles
 from tessera.plans.cyclic import cyclic_events
 from tessera.plans.operator import OPERATORS
 from tessera.sources import formats, roundtrips
 
-__all__ = ["OPERATORS", "ORACLE_SQL", "QUERIES", "alignment", "detectors", "formats", "intervals", "kernels", "review", "roles"]
+__all__ = ["OPERATORS", "ORACLE_SQL", "QUERIES", "alignment", "detectors", "formats", "identity", "intervals", "kernels", "review", "roles"]
 QUERIES = {name: op.query() for name, op in OPERATORS.items()}
-QUERIES |= kernels.QUERIES | roundtrips.QUERIES
+QUERIES |= kernels.QUERIES | roundtrips.QUERIES | identity.QUERIES
+QUERIES["identity_events"] = lambda spark, sf_dir: identity.identity_events(kernels.alignment_of(spark, sf_dir))
 QUERIES["cyclic_events"] = lambda spark, sf_dir: cyclic_events(spark, kernels.alignment_of(spark, sf_dir), alpha=0.001)
 ORACLE_SQL = {name: op.duckdb() for name, op in OPERATORS.items()}
 ORACLE_SQL |= {name: roundtrips.READ_BACK.duckdb() for name in roundtrips.QUERIES}
+ORACLE_SQL |= identity.ORACLE_SQL

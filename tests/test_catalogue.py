@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tessera.operators import kernels
+from tessera.operators import fragments, kernels
 from tessera.plans import catalogue
 from tessera.plans.operator import OPERATORS, TABLES
 
@@ -97,9 +97,8 @@ def test_hidden_states_follow_a_switch(spark):
 
 def test_fragments_and_bootscan_find_the_tract(spark):
     sites = planted(spark, n=4)
-    tracks = kernels.frame(spark, "variable_ranks", sites=sites)
-    best = kernels.geneconv_fragments(tracks.where("a = 0 and b = 1 and c = 2")).where("track = 1").orderBy("p").first()
-    assert best.start < 130 and best.end > 190 and best.p < 1e-3
+    best = fragments.fragments(sites).where("a = 0 and b = 1 and c = 2 and track = 1").orderBy("p").first()
+    assert best.tract_start < 130 and best.tract_end > 190 and best.p < 1e-3
     votes = kernels.bootscan_support(kernels.frame(spark, "columns", sites=sites).where("a = 0 and b = 1 and c = 2"), width=60).collect()
     assert all(r.support_1 > 0.9 for r in votes if 120 <= r.start and r.start + 60 <= 200)
 
