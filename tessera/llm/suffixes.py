@@ -25,6 +25,7 @@ a cut inside a character leaves the other bytes of it (``kept`` is binary); furt
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -393,7 +394,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row a document: n_bytes, n_removed, the removed spans (bytes, half open), a digest of what is left, and with ``kept`` the bytes left."""
     if shape.gram > shape.width:
         raise ValueError("the gram must fit the window")
-    n_blocks, size = blocks.block_count(docs, text, block_bytes)
+    # a block sends a message to every bucket, so there are no more blocks than the cluster or the texts need
+    parts, size = blocks.shuffle_partitions(docs), blocks.text_bytes(docs, text)[1]
+    n_blocks = max(parts, math.ceil(size / block_bytes))
     n_buckets = blocks.bucket_count(docs, size // 16)
     dealt = docs.select(blocks.block_of(doc_id, text, n_blocks).alias("block"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = blocks.packed_schema(dealt)
