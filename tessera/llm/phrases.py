@@ -330,7 +330,7 @@ def _answer(rows: list[dict], least: int) -> list[dict]:
 def candidates(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Frequent phrases that no longer one of the same count contains: lang, phrase, a, n, and the counts l and r of the parts of every cut."""
     parts, size = blocks.shuffle_partitions(docs), blocks.text_bytes(docs, text)[1]
-    n_blocks, n_buckets = max(parts, math.ceil(size / block_bytes)), blocks.bucket_count(docs, size // 12)
+    n_blocks, n_buckets = max(parts, math.ceil(size / block_bytes)), max(math.ceil(parts / 2), math.ceil(size // 12 / blocks.BUCKET_KEYS))
     named = [F.col(c) for c in docs.columns if c in ("doc_id", text)]
     dealt = docs.select(F.pmod(F.xxhash64(*named), F.lit(n_blocks)).cast("int").alias("block"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     schema = blocks.packed_schema(dealt)
