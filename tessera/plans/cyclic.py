@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import components, detectors, scans
+from tessera.session import shared_dir
 
 #: The reference's cap on events; a scan that reaches it warns.
 MOST = 250
@@ -25,15 +25,6 @@ def disassemble(sites: DataFrame, row: int, start: int, end: int, component: int
     return left.select("seq_id", "site", "base").unionByName(tract.withColumn("base", F.col("base").cast("int")))
 
 
-def _shared_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
-
-
 def candidates(rows: DataFrame, n: int, length: int, affected: int, least_p: float) -> DataFrame:
     """Descents with p of at most ``least_p`` in the triplets that have one of the last ``affected`` rows."""
     found = scans.touching(rows, n, length, affected, scans.walks, scans.WALKS).where("descent >= 4").withColumn("p", F.round(F.expr(detectors.descent_p()), 9)).where(F.col("p") <= least_p)
@@ -57,7 +48,7 @@ def cyclic_events(spark: SparkSession, sites: DataFrame, most: int = MOST, alpha
 
     One row a pass reaches the driver, the best candidate.  The sequences, and the pool after each pass, are written to the folder that the
     session names for checkpoints; without one a local session takes a folder of its own."""
-    _shared_dir(spark)
+    shared_dir(spark)
     whole, n, length = scans.sequences(sites)
     whole = whole.checkpoint()
     last = whole.agg(F.max("seq_id")).first()[0]
