@@ -53,22 +53,40 @@ LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 
 
-def _same(other: str) -> str:
-    """Whether two packed windows (hash above, place in the low bits) are one sequence of three words."""
-    words = ["named_struct(" + ", ".join(f"'{k}', get(_words, cast({x} & (shiftleft(1L, _bits) - 1) as int) + {k})" for k in range(3)) + ")" for x in ("x", other)]
-    return f"(shiftright(x, _bits) = shiftright({other}, _bits) and {words[0]} = {words[1]})"
+def _word(x: str, k: int) -> str:
+    """A word of a packed window (hash above, place in the low bits)."""
+    return f"get(_words, {_place(x)} + {k})"
 
 
-def measures(text: str = "text") -> dict[str, str]:
-    """Steps of SQL expressions, each over the columns of the steps before it."""
+def _place(x: str) -> str:
+    return f"cast({x} & (shiftleft(1L, _bits) - 1) as int)"
+
+
+def _equal_hash(x: str, y: str) -> str:
+    return f"shiftright({x}, _bits) = shiftright({y}, _bits)"
+
+
+def measures(text: str = "text", hash_bits: int = 64) -> dict[str, str]:
+    """Steps of SQL expressions, each over the columns of the steps before it.
+
+    Windows are sorted by hash (at most ``hash_bits`` of it, less those of the place) and those with a hash in common are candidates.  If all
+    neighbours of one hash are one sequence of words, they are the repeats; else the candidates are sorted by their words and compared again."""
+    window = f"xxhash64(x, get(_words, i + 1), get(_words, i + 2)){'' if hash_bits == 64 else f' & {(1 << hash_bits) - 1}L'}"
+    following = "get(_near, j + 1)"
+    words = ", ".join(f"'w{k}', {_word('x', k)}" for k in range(3))
+    agrees = " and ".join(f"{_word('x', k)} <=> {_word(following, k)}" for k in range(3))
+    same = {side: " and ".join(f"x.w{k} <=> get(_keyed, j {side} 1).w{k}" for k in range(3)) for side in "-+"}
     stop = ", ".join(f"'{w}'" for w in sorted({x for w in STOP_WORDS for x in (w, w.capitalize())}))
     return {
         "_text": f"coalesce(`{text}`, '')",
         "_words": f"if(btrim(_text, '{WHITE}') = '', cast(array() as array<string>), split(btrim(_text, '{WHITE}'), '{SPLIT}'))".replace("\\x", "\\\\x"),
         "_lines": f"filter(split(_text, '\\n'), x -> btrim(x, '{WHITE}') <> '')",
         "_bits": "length(bin(size(_words)))",
-        "_windows": "sort_array(transform(_words, (x, i) -> shiftleft(xxhash64(x, get(_words, i + 1), get(_words, i + 2)), _bits) | i))",
-        "_repeats": f"sort_array(transform(filter(_windows, (x, j) -> {_same('get(_windows, j - 1)')} or {_same('get(_windows, j + 1)')}), x -> cast(x & (shiftleft(1L, _bits) - 1) as int)))",
+        "_windows": f"sort_array(transform(_words, (x, i) -> shiftleft({window}, _bits) | i))",
+        "_near": f"filter(_windows, (x, j) -> {_equal_hash('x', 'get(_windows, j - 1)')} or {_equal_hash('x', 'get(_windows, j + 1)')})",
+        "_mixed": f"size(filter(_near, (x, j) -> {_equal_hash('x', following)} and not ({agrees}))) > 0",
+        "_keyed": f"sort_array(transform(filter(_near, x -> _mixed), x -> named_struct({words}, 'i', {_place('x')})))",
+        "_repeats": f"sort_array(if(_mixed, transform(filter(_keyed, (x, j) -> (j > 0 and {same['-']}) or (j < size(_keyed) - 1 and {same['+']})), x -> x.i), transform(_near, x -> {_place('x')})))",
         "n_words": "cast(size(_words) as bigint)",
         "word_chars": "cast(length(array_join(_words, '')) as bigint)",
         "n_symbols": "cast(regexp_count(_text, '[#*$%&|<>]') as bigint)",
@@ -89,11 +107,11 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
     return F.expr(f"not ({' or '.join(tests)})") if tests else F.lit(True)
 
 
-def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, prefix: str = "quality") -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, prefix: str = "quality", hash_bits: int = 64) -> DataFrame:
     """The input with one more column: a struct of all counts, base_failed and kept."""
     inner = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_in"))
-    steps = measures("_in")
-    for group in (("_text",), ("_words", "_lines"), ("_bits",), ("_windows",), ("_repeats",)):
+    steps = measures("_in", hash_bits)
+    for group in (("_text",), ("_words", "_lines"), ("_bits",), ("_windows",), ("_near",), ("_mixed",), ("_keyed",), ("_repeats",)):
         inner = inner.withColumns({k: F.expr(steps[k]) for k in group})
     counts = [k for k in steps if not k.startswith("_")]
     inner = inner.select("_row", *(F.expr(steps[k]).alias(k) for k in counts))

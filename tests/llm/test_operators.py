@@ -177,6 +177,15 @@ def test_quality_counts_and_verdict(docs, empty):
     assert "quality" in quality.judge(docs).columns and quality.judge(docs).where("quality.kept").select("set").count() >= 1
 
 
+def test_quality_counts_do_not_depend_on_hashes(spark, docs):
+    """Windows whose hashes collide, and repeats that interleave with them: A B A B by place."""
+    turns = spark.createDataFrame([(900, "a b c x d e f y a b c z d e f w a b c"), (901, "p q r s t u v w"), (902, "m m m m m")], "doc_id long, text string")
+    table = docs.select("doc_id", "text").unionByName(turns)
+    counted = [sorted(((r.doc_id or -1, r.text or "", r.n_repeat_words, r.kept) for r in quality.judge(table, hash_bits=bits).select("doc_id", "text", "quality.*").collect())) for bits in (64, 3, 0)]
+    assert counted[0] == counted[1] == counted[2]
+    assert {r[0]: r[2] for r in counted[2] if r[0] >= 900} == {900: 15, 901: 0, 902: 5}
+
+
 def brute_spans(rows, window):
     where = {}
     for doc_id, text in rows:
