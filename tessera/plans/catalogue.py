@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.operators import alignment, detectors, identity, intervals, kernels, review, roles, switches
+from tessera.operators import alignment, detectors, identity, intervals, kernels, planning, review, roles, switches
 from tessera.plans.cyclic import cyclic_events
 from tessera.plans.operator import OPERATORS
 from tessera.sources import formats, roundtrips
 
-__all__ = ["OPERATORS", "ORACLE_SQL", "QUERIES", "alignment", "detectors", "formats", "identity", "intervals", "kernels", "review", "roles", "switches"]
+__all__ = ["OPERATORS", "ORACLE_SQL", "QUERIES", "alignment", "detectors", "formats", "identity", "intervals", "kernels", "planning", "review", "roles", "switches"]
 QUERIES = {name: op.query() for name, op in OPERATORS.items()}
 QUERIES |= kernels.QUERIES | roundtrips.QUERIES | identity.QUERIES | switches.QUERIES
 QUERIES["identity_events"] = lambda spark, sf_dir: identity.identity_events(kernels.alignment_of(spark, sf_dir))

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import shared_dir
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -127,6 +129,23 @@ def built(name: str, *needs: str, sql: str) -> Callable[[Callable[..., DataFrame
     return keep
 
 
+def stored(name: str, *needs: str) -> Callable[[Text], Text]:
+    """A view that Spark works out once and writes to the session's folder for checkpoints, as much stands on it."""
+
+    def keep(text: Text) -> Text:
+        VIEWS[name] = View(needs, text)
+
+        def build(*frames: DataFrame) -> DataFrame:
+            spark = frames[0].sparkSession
+            shared_dir(spark)
+            return Operator(name, needs, text, "").run(spark, **dict(zip(needs, frames, strict=True))).checkpoint()
+
+        BUILT[name] = build
+        return text
+
+    return keep
+
+
 @dataclass(frozen=True)
 class Operator:
     name: str
