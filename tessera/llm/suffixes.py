@@ -46,7 +46,7 @@ COLLECTION = 1 << 20
 HOT_RUNS = 1 << 15
 #: Bytes of text hashed at once.
 PORTION = 1 << 18
-NO_ID = np.iinfo(np.int64).max
+BEYOND = np.iinfo(np.int64).max
 _SYMBOL = np.random.default_rng(20240301).integers(0, 2**32, 256, dtype=np.uint32)
 MESSAGE = "bucket int, block int, kind int, keys binary, docs binary, starts binary, sizes binary, body binary"
 _MESSAGE = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("keys", "docs", "starts", "sizes", "body"))])
@@ -154,17 +154,14 @@ class Runs:
         self.count = np.minimum(total[of] - part * LONGEST_RUN, LONGEST_RUN)
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.fill_null(NO_ID).to_numpy(zero_copy_only=False), np.int64)
-
-
 def _parsed(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[tuple[np.ndarray, Runs, np.ndarray]]:
     """Document ids, runs, and which runs are of a row with an id; some texts at a time."""
     for batch in batches:
         for a, e in portions(batch.column("text"), PORTION):
             part = batch.slice(a, e - a)
-            ids, runs = _ids(part.column("doc_id")), Runs(part.column("text"), shape)
-            yield ids, runs, ids[runs.row] != NO_ID
+            column, runs = part.column("doc_id"), Runs(part.column("text"), shape)
+            ids, nameless = np.asarray(column.fill_null(0).to_numpy(zero_copy_only=False), np.int64), np.asarray(column.is_null().to_numpy(zero_copy_only=False), bool)
+            yield np.ma.array(ids, mask=nameless), runs, ~nameless[runs.row]
 
 
 def _table(rows: list[dict]) -> pa.Table:
@@ -273,10 +270,16 @@ class Block:
 
 
 def _by_key(keys: dict[bytes, tuple[int, bool]]) -> tuple[list[bytes], np.ndarray]:
-    """The pieces in the order of their keys, and the keys."""
+    """The pieces in the order of their keys, those of one key by their bytes, and the keys.
+
+    Rows come in another order each time that an exchange is read, and answers are told by the order of the pieces."""
     key, pieces = np.array([k for k, _ in keys.values()], U), list(keys)
     order = np.argsort(key, kind="stable")
-    return [pieces[i] for i in order], key[order]
+    ends = np.flatnonzero(np.append(key[order][1:] != key[order][:-1], True)) + 1 if len(key) else np.zeros(0, np.int64)
+    for a, e in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=False):
+        if e - a > 1:
+            order[a:e] = sorted(order[a:e].tolist(), key=pieces.__getitem__)
+    return [pieces[i] for i in order.tolist()], key[order]
 
 
 def _pieces_sent(block: int, place: dict[bytes, tuple[int, int]], keys: dict[bytes, tuple[int, bool]], n_buckets: int) -> list[dict]:
@@ -297,7 +300,7 @@ def _first_windows(pieces: list[bytes], docs: np.ndarray, starts: np.ndarray, wi
     of = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(kind))))
     doc, start = docs[string], starts[string] + first
     best = doc == np.minimum.reduceat(doc, new)[of]
-    start = np.where(best, start, NO_ID)
+    start = np.where(best, start, BEYOND)
     best &= start == np.minimum.reduceat(start, new)[of]
     count = np.array([len(p) - width + 1 for p in pieces])
     out = np.zeros(int(count.sum()), bool)
@@ -379,14 +382,14 @@ def _covered(block: Block, n_buckets: int) -> Iterator[tuple[np.ndarray, Runs, n
 def _cut(block: Block, n_buckets: int, kept: bool) -> pa.Table:
     rows = []
     for ids, runs, covered in _covered(block, n_buckets):
-        blob, left = runs.data, ~covered
+        blob, left, nameless = runs.data, ~covered, np.ma.getmaskarray(ids)
         edges = np.flatnonzero(np.diff(covered, prepend=False, append=False).astype(bool))
         for i, (a, e) in enumerate(zip(runs.offsets[:-1].tolist(), runs.offsets[1:].tolist(), strict=True)):
             # a span that touches the text before is another one
             own = edges[np.searchsorted(edges, a, "right") : np.searchsorted(edges, e)]
             own = np.concatenate([[a] if a < e and covered[a] else [], own, [e] if a < e and covered[e - 1] else []]).astype(np.int64) - a
             rest = blob[a:e][left[a:e]].tobytes()
-            rows.append({"doc_id": None if ids[i] == NO_ID else int(ids[i]), "n_bytes": e - a, "n_removed": e - a - len(rest), "spans": [{"first": f, "last": t} for f, t in own.reshape(-1, 2).tolist()], "kept": rest if kept else None, "kept_sha256": hashlib.sha256(rest).hexdigest()})
+            rows.append({"doc_id": None if nameless[i] else int(ids[i]), "n_bytes": e - a, "n_removed": e - a - len(rest), "spans": [{"first": f, "last": t} for f, t in own.reshape(-1, 2).tolist()], "kept": rest if kept else None, "kept_sha256": hashlib.sha256(rest).hexdigest()})
     return pa.Table.from_pylist(rows, schema=_SPANS)
 
 

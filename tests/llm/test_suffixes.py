@@ -103,6 +103,32 @@ def test_repeated_spans_of_production_width(spark):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got), key=str) == brute(rows, 100)
 
 
+def test_pieces_are_told_in_one_order_whatever_the_order_of_rows():
+    import pyarrow as pa
+
+    from tessera.llm import blocks
+
+    schema, rnd, orders = pa.schema([("doc_id", pa.int64()), ("text", pa.string())]), random.Random(6), []
+    rows = [(i, t) for i, t in corpus() if i is not None]
+    for _ in range(3):
+        rnd.shuffle(rows)
+        batch = pa.record_batch({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]}, schema=schema)
+        texts = pa.table({"rows": [blocks.press(batch.serialize())]})
+        shape = suffixes.Shape(20, 6, 2000, 1000)
+        keys = suffixes.Block(texts, schema, None, shape).anchors()[0]
+        told = suffixes._table([{"bucket": 0, "block": 0, "kind": suffixes.ANCHORS, "sizes": blocks.press(bytes([suffixes.SHARED]) * len(keys))}])
+        pieces, by = suffixes._by_key(suffixes.Block(texts, schema, told, shape).distinct()[1])
+        assert len(set(by.tolist())) < len(by)
+        orders.append(pieces)
+    assert orders[0] == orders[1] == orders[2]
+
+
+def test_the_largest_id_is_an_id(spark):
+    rows = [(2**63 - 1, "abcdefghijklmnopqrstuvwxyz" * 2), (3, "bcdefghijklmnopqrstuvwxyz"), (None, "abcdefghijklmnopqrstuvwxyz" * 2)]
+    got = suffixes.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), shape=suffixes.Shape(20, 6)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got), key=str) == brute(rows, 20)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffixes.repeated_spans(empty).collect() == []
