@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 from tessera.functions.statistics import erfc, jukes_cantor
-from tessera.plans.operator import SparkDialect, operator, view
+from tessera.operators import tiles
+from tessera.plans.operator import OPERATORS, VIEWS, Operator, SparkDialect, operator, shortened, view
 
 VALID = "base < 4"
 
@@ -43,6 +46,11 @@ def _(d: SparkDialect) -> str:
 FROM words l JOIN words r ON l.word = r.word AND l.seq_id < r.seq_id GROUP BY 1, 2"""
 
 
+def _by_rows(name: str, needed: DataFrame) -> DataFrame:
+    """A view of pairs as its SQL says, for rows that do not fit into tiles."""
+    return Operator(name, VIEWS[name].needs, VIEWS[name].text, "").run(needed.sparkSession, **{VIEWS[name].needs[0]: needed})
+
+
 @view("pairs", "sites")
 def _(d: SparkDialect) -> str:
     return """SELECT l.seq_id AS left_id, r.seq_id AS right_id, count(*) AS valid_sites, CAST(sum(CASE WHEN l.base <> r.base THEN 1 ELSE 0 END) AS BIGINT) AS differences
@@ -110,6 +118,12 @@ def _(d: SparkDialect) -> str:
     return "SELECT round(max(CAST(differences AS DOUBLE) / greatest(1, valid_sites)), 9) AS max_p, count(*) AS n_pairs FROM packed_pairs"
 
 
+@shortened("max_distance", "words")
+def largest_of_tiles(words: DataFrame) -> DataFrame:
+    t = tiles.tiling(words)
+    return tiles.extremes(words, t) if t else OPERATORS["max_distance"].run(words.sparkSession, packed_pairs=_by_rows("packed_pairs", words))
+
+
 def _ranked(source: str) -> str:
     return f"""SELECT target, neighbour, round(p, 9) AS p_distance, CAST(rank AS INT) AS rank FROM (SELECT target, neighbour, p, row_number() OVER (PARTITION BY target ORDER BY p, neighbour) AS rank
 FROM (SELECT left_id AS target, right_id AS neighbour, CAST(differences AS DOUBLE) / greatest(1, valid_sites) AS p FROM {source} UNION ALL SELECT right_id, left_id, CAST(differences AS DOUBLE) / greatest(1, valid_sites) FROM {source}) u) r WHERE rank <= 8"""

@@ -107,6 +107,8 @@ class View:
 VIEWS: dict[str, View] = {}
 #: Views that Spark builds from the DataFrames of what they need, as their SQL is recursive.
 BUILT: dict[str, Callable[..., DataFrame]] = {}
+#: Operators that Spark builds from the DataFrames of some views, as their SQL makes a row of every pair.
+SHORTENED: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]] = {}
 OPERATORS: dict[str, Operator] = {}
 
 
@@ -129,6 +131,24 @@ def built(name: str, *needs: str, sql: str) -> Callable[[Callable[..., DataFrame
     return keep
 
 
+def shortened(name: str, *needs: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """What Spark builds in place of the SQL of a view or an operator, unless the caller gives what that SQL is over."""
+
+    def keep(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        if name in VIEWS:
+            BUILT[name] = build
+        else:
+            SHORTENED[name] = needs, build
+        return build
+
+    return keep
+
+
+def selected(name: str, spark: SparkSession, **frames: DataFrame) -> DataFrame:
+    """The rows of a view."""
+    return Operator(name, (name,), lambda _: f"SELECT * FROM {name}", "").run(spark, **frames)
+
+
 def stored(name: str, *needs: str) -> Callable[[Text], Text]:
     """A view that Spark works out once and writes to the session's folder for checkpoints, as much stands on it."""
 
@@ -176,8 +196,11 @@ class Operator:
         return (f"WITH {ctes}\n" if ctes else "") + self.text(DUCK)
 
     def run(self, spark: SparkSession, **frames: DataFrame) -> DataFrame:
+        if OPERATORS.get(self.name) is self and self.name in SHORTENED and not set(self.needs) & set(frames):
+            needs, build = SHORTENED[self.name]
+            return build(*(selected(n, spark, **frames) for n in needs))
         for name in [v for v in self._parts(set(frames))[1] if v in BUILT]:
-            frames[name] = BUILT[name](*(Operator(n, (n,), lambda _, n=n: f"SELECT * FROM {n}", "").run(spark, **frames) for n in VIEWS[name].needs))
+            frames[name] = BUILT[name](*(selected(n, spark, **frames) for n in VIEWS[name].needs))
         used, order = self._parts(set(frames))
         ctes = [f"{u} AS (SELECT * FROM {{{u}}})" for u in used] + [f"{v} AS ({VIEWS[v].text(SPARK)})" for v in order]
         return spark.sql("WITH " + ",\n".join(ctes) + "\n" + self.text(SPARK), **{u: frames[u] for u in used})
