@@ -135,6 +135,12 @@ def _(d: SparkDialect) -> str:
     return _ranked("packed_pairs")
 
 
+@shortened("nearest_parents", "words")
+def nearest_of_tiles(words: DataFrame) -> DataFrame:
+    t = tiles.tiling(words)
+    return tiles.nearest(words, t) if t else OPERATORS["nearest_parents"].run(words.sparkSession, packed_pairs=_by_rows("packed_pairs", words))
+
+
 @view("sketch_pairs", "embed_sites")
 def _(d: SparkDialect) -> str:
     """Pair counts on 16 evenly spaced sites of 64."""

@@ -7,7 +7,7 @@ import pytest
 from tessera.operators import alignment, tiles
 from tessera.plans.operator import OPERATORS, selected
 
-NAMES = ["max_distance"]
+NAMES = ["max_distance", "nearest_parents"]
 
 
 def rows(df):
@@ -41,3 +41,8 @@ def test_tiles_equal_joined_words(spark, name, monkeypatch):
 def test_no_row_a_pair_and_word(spark, name):
     frame = spark.createDataFrame([(i, s, (i * s) % 4) for i in range(9) for s in range(64)], "seq_id long, site int, base int")
     assert "Join" not in OPERATORS[name].run(spark, embed_sites=frame)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ids_that_are_no_numbers_take_the_join(spark):
+    frame = spark.createDataFrame([(f"s{i}", s, (i * s) % 4) for i in range(9) for s in range(64)], "seq_id string, site int, base int")
+    assert rows(OPERATORS["nearest_parents"].run(spark, embed_sites=frame)) == rows(plain(spark, "nearest_parents", frame))
