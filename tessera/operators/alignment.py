@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.functions.statistics import erfc, jukes_cantor
 from tessera.operators import tiles
@@ -160,6 +161,17 @@ def _(d: SparkDialect) -> str:
     return _ranked("sketch_pairs")
 
 
+@shortened("sampled_nearest", "embed_sites")
+def nearest_of_sketches(embed_sites: DataFrame) -> DataFrame:
+    """The sketch is a word of 16 lanes; only a site that is there once fits into one."""
+    taken = [i * 63 // 15 for i in range(16)]
+    lane = F.pow(F.lit(4), F.array_position(F.array(*map(F.lit, taken)), F.col("site")) - 1).cast("long")
+    rows = embed_sites.where(F.col("site").isin(taken) & (F.col("base") < 4)).groupBy("seq_id", "site").agg(F.count("base").alias("n"), F.min("base").alias("base"))
+    words = rows.groupBy("seq_id").agg(F.lit(0).alias("word"), F.sum(F.col("base") * lane).alias("bases"), F.sum(F.when((F.col("n") == 1) & (F.col("base") >= 0), lane).otherwise(2)).alias("valid"))
+    t = tiles.tiling(words, by_site=True)
+    return tiles.nearest(words, t) if t else OPERATORS["sampled_nearest"].run(embed_sites.sparkSession, sketch_pairs=_by_rows("sketch_pairs", embed_sites))
+
+
 @operator("variable_sites", "sites")
 def _(d: SparkDialect) -> str:
     """States, majority share and variability of each site."""

@@ -7,7 +7,7 @@ import pytest
 from tessera.operators import alignment, tiles
 from tessera.plans.operator import OPERATORS, selected
 
-NAMES = ["max_distance", "nearest_parents", "packed_pair_distance"]
+NAMES = ["max_distance", "nearest_parents", "packed_pair_distance", "sampled_nearest"]
 
 
 def rows(df):
