@@ -44,7 +44,7 @@ from tessera.llm.kernel import U, Words, distinct_places, mix, pack_sorted, plan
 LONGEST = 5
 LEAST = 100
 TOP = 2000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Entries of bitmaps that go down together.
 BATCH = 1 << 16
 SALTS = 64
@@ -130,7 +130,7 @@ class Vertical:
         entries = unplanes(unpress(row["entries"]), np.int32)
         self.chunk, self.bits = np.cumsum(unplanes(unpress(row["chunks"]), np.int32), dtype=np.int32), np.frombuffer(unpress(row["bits"]), np.uint8)
         self.first = np.concatenate([[0], np.cumsum(entries)])
-        self.word = np.repeat(np.arange(len(entries)), entries)
+        self.word = np.repeat(np.arange(len(entries), dtype=np.int32), entries)
         order = np.argsort(self.chunk, kind="stable")
         self.there, self.bits_there = self.word[order], self.bits[order]
         self.at = np.searchsorted(self.chunk[order], np.arange(int(self.chunk.max(initial=0)) + 3))
@@ -139,7 +139,7 @@ class Vertical:
     def row(block: int, batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> dict:
         """The vertical form of a block, of its frequent words only."""
         langs: dict[str, int] = {}
-        word, position, names, lang_of, start = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], {}, np.zeros(len(frequent), np.int32), 0
+        word, position, names, lang_of, start = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], {}, np.zeros(len(frequent), np.int32), 0
         for t in _tokens(batches):
             at = np.minimum(np.searchsorted(frequent, t.key), max(len(frequent) - 1, 0))
             own = np.flatnonzero(frequent[at] == t.key) if len(frequent) and len(t.key) else np.zeros(0, np.int64)
@@ -149,11 +149,11 @@ class Vertical:
                 if w not in names:
                     names[w] = blob[t.words.start[own[i]] : t.words.end[own[i]]]
                     lang_of[w] = numbers[t.lang[own[i]]]
-            word.append(at)
-            position.append(t.position[own] + start)
+            word.append(at.astype(np.int32))
+            position.append((t.position[own] + start).astype(np.int32))
             start += int(t.position[-1]) + 2 if len(t.position) else 0
         held = np.array(sorted(names), np.int64)
-        all_words, all_positions = np.searchsorted(held, np.concatenate(word)), np.concatenate(position)
+        all_words, all_positions = np.searchsorted(held, np.concatenate(word)).astype(np.int32), np.concatenate(position)
         order = np.argsort(all_words, kind="stable")
         w, p = all_words[order], all_positions[order]
         chunk, bit = (p >> 3).astype(np.int32), (1 << (p & 7)).astype(np.uint8)
