@@ -124,8 +124,8 @@ def _counted(t: Tiling, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray,
     return valid, differences, shared
 
 
-def _slices(n: int, width: int) -> Iterator[slice]:
-    step = max(1, PAIRS // max(1, width))
+def _slices(n: int, width: int, most: int = PAIRS) -> Iterator[slice]:
+    step = max(1, most // max(1, width))
     for a in range(0, n, step):
         yield slice(a, min(n, a + step))
 
@@ -206,7 +206,7 @@ def nearest(words: DataFrame, t: Tiling, size: int = 8) -> DataFrame:
                 if best is not None:
                     yield best.batch()
                 best = _Nearest(ids, size)
-            for rows in _slices(len(ids), len(others)):
+            for rows in _slices(len(ids), len(others), 4 * PAIRS):
                 valid, differences, shared = _counted(t, own[:, rows], other)
                 p = _share(valid, differences)
                 if same:
