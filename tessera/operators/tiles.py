@@ -1,8 +1,9 @@
 """All pairs of packed sequences without a row a pair and word: sequences are dealt into tiles, and every tile meets every other once.
 
 A tile holds its sequences as bit planes (valid sites, low and high bits of the bases; 64 sites a number), sorted by id, in one row of about
-TILE * 32 bytes for 64 sites.  A task holds one tile and reads the tiles it meets one after the other, so memory does not grow with the table.  The
-work grows with the square of the sequences, a few nanoseconds a pair and 64 sites; tiles cross the shuffle once for each tile they meet."""
+TILE * 32 bytes for 64 sites.  Tiles are dealt into blocks, and a task holds the tiles of one block and reads those of another one after the other.
+The number of blocks follows from the cores, so a tile crosses the shuffle equally often in a small and in a large table; only where a block would
+be over HELD bytes are there more of them.  The work grows with the square of the sequences, a few nanoseconds a pair and 64 sites."""
 
 from __future__ import annotations
 
@@ -19,15 +20,20 @@ from pyspark.sql.types import IntegralType
 TILE, LEAST_TILE = 8192, 256
 #: Pairs worked on at once.
 PAIRS = 1 << 14
+#: Sequences that all of a tile meet before the next are met: ids that soon come again take little room in files of columns.
+RUN = 1 << 8
+#: Bytes of a block, if it has more than one tile.
+HELD = 1 << 24
 EVEN = 0x55555555
 U = np.uint64
 
 
 @dataclass(frozen=True)
 class Tiling:
-    """How many tiles; the first word and how many; whether every sequence has every word (then all pairs share one); and whether only pairs with a valid site in common count."""
+    """How many sequences and cores; the first word and how many; whether every sequence has every word (then all pairs share one); and whether only pairs with a valid site in common count."""
 
-    count: int
+    n: int
+    cores: int
     low: int
     n_words: int
     complete: bool
@@ -37,6 +43,17 @@ class Tiling:
     def columns(self) -> int:
         return -(-self.n_words // 4)
 
+    @property
+    def planes(self) -> int:
+        return 3 * self.columns + (0 if self.complete else -(-self.n_words // 64))
+
+    def blocks(self, ordered: bool) -> tuple[int, int]:
+        """How many blocks, and how many tiles in each: no more blocks than give every core some tasks of enough pairs."""
+        parts = math.ceil(self.n / LEAST_TILE)
+        count = min(2 * self.cores, parts) if ordered else math.ceil((math.sqrt(8 * min(4 * self.cores, parts) + 1) - 1) / 2)
+        count = max(1, count, math.ceil(self.n / max(TILE, HELD // (8 * (self.planes + 1)))))
+        return count, max(1, math.ceil(self.n / (count * TILE)))
+
 
 def _squeezed(x: np.ndarray) -> np.ndarray:
     """The even bits of 32-bit numbers, side by side."""
@@ -54,11 +71,10 @@ def tiling(words: DataFrame, by_site: bool = False) -> Tiling | None:
     if n and not fits:
         return None
     low, n_words = (low, high - low + 1) if n else (0, 1)
-    tasks = 2 * words.sparkSession.sparkContext.defaultParallelism
-    return Tiling(max(1, math.ceil(n / TILE), min(tasks, math.ceil(n / LEAST_TILE))), low, n_words, by_site or rows == n * n_words, by_site)
+    return Tiling(n, words.sparkSession.sparkContext.defaultParallelism, low, n_words, by_site or rows == n * n_words, by_site)
 
 
-def _packed(words: DataFrame, t: Tiling) -> DataFrame:
+def _packed(words: DataFrame, t: Tiling, count: int) -> DataFrame:
     """tile, ids (sorted) and planes: valid, low and high columns, and which words are there unless all are."""
 
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
@@ -66,14 +82,14 @@ def _packed(words: DataFrame, t: Tiling) -> DataFrame:
         word = rows.column("word").to_numpy() - t.low
         shift, column = U(16) * (word % 4).astype(U), word // 4
         bases, valid = (rows.column(c).to_numpy().astype(U) for c in ("bases", "valid"))
-        planes = np.zeros((3 * t.columns + (0 if t.complete else -(-t.n_words // 64)), len(ids)), U)
+        planes = np.zeros((t.planes, len(ids)), U)
         for k, bits in enumerate((valid, bases, bases >> U(1))):
             np.bitwise_or.at(planes, (k * t.columns + column, row), _squeezed(bits) << shift)
         if not t.complete:
             np.bitwise_or.at(planes, (3 * t.columns + word // 64, row), U(1) << (word % 64).astype(U))
         return pa.table({"tile": pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()), "planes": pa.array([planes.tobytes()], pa.binary())})
 
-    dealt = words.where("seq_id IS NOT NULL").select(F.pmod(F.xxhash64("seq_id"), F.lit(t.count)).cast("int").alias("tile"), F.col("seq_id").cast("long"), F.col("word").cast("long"), "bases", "valid")
+    dealt = words.where("seq_id IS NOT NULL").select(F.pmod(F.xxhash64("seq_id"), F.lit(count)).cast("int").alias("tile"), F.col("seq_id").cast("long"), F.col("word").cast("long"), "bases", "valid")
     return dealt.groupBy("tile").applyInArrow(pack, "tile int, ids binary, planes binary")
 
 
@@ -81,24 +97,38 @@ Side = tuple[np.ndarray, np.ndarray]
 
 
 def _meetings(words: DataFrame, t: Tiling, ordered: bool, run: Callable[[Iterator[tuple[Side, Side, bool]]], Iterator[pa.RecordBatch]], columns: str) -> DataFrame:
-    """Runs over a task's meetings of tiles (ids and planes of both, and whether both are one); every two tiles meet once, or if ``ordered`` once at each."""
-    k = F.lit(t.count)
-    steps = _packed(words, t).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(t.count - 1 if ordered else t.count // 2)))).withColumn("home", F.pmod(F.col("tile") - F.col("step"), k))
-    if not ordered and t.count % 2 == 0:
-        steps = steps.where((F.col("step") < t.count // 2) | (F.col("home") < t.count // 2))
+    """Runs over a task's meetings of tiles (ids and planes of both, and whether both are one); every two tiles meet once, or if ``ordered`` once at each.
+
+    A task has one block and all others if ``ordered``, else two blocks, or one that meets itself.  At step 0 a tile meets those of its own block,
+    at 1 it is only kept, and at 2 it meets those that are kept."""
+    count, each = t.blocks(ordered)
+    own, other = F.col("tile") % count, F.col("other")
+    low, high = F.least(own, other), F.greatest(own, other)
+    if ordered:
+        tasks, home, step = count, other, F.when(own == other, 0).otherwise(2)
+    else:  # blocks that meet themselves have half the pairs and come last
+        tasks, home = count * (count + 1) // 2, F.when(low == high, count * (count - 1) // 2 + low).otherwise((high * (high - 1) / 2).cast("int") + low)
+        step = F.when(low == high, 0).when(own == low, 1).otherwise(2)
+    steps = _packed(words, t, count * each).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).select(home.alias("home"), step.alias("step"), "ids", "planes")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Side, Side, bool]]:
-        home, own = None, None
+        home, kept = None, []
         for b in batches:
             for at, step, ids, planes in zip(b.column("home").to_pylist(), b.column("step").to_pylist(), b.column("ids"), b.column("planes"), strict=True):
                 found = np.frombuffer(ids.as_buffer(), np.int64)
                 side = found, np.frombuffer(planes.as_buffer(), U).reshape(-1, len(found))
+                if at != home:
+                    home, kept = at, []
                 if step == 0:
-                    home, own = at, side
-                if own is not None and home == at:
-                    yield own, side, step == 0
-
-    dealt = steps.select("home", "step", "ids", "planes").repartitionById(t.count, F.col("home")).sortWithinPartitions("home", "step")
+                    yield side, side, True
+                for x in kept if step != 1 else []:
+                    yield x, side, False
+                    if ordered and step == 0:
+                        yield side, x, False
+                if step < 2:
+                    kept.append(side)
+
+    dealt = steps.repartitionById(tasks, F.col("home")).sortWithinPartitions("home", "step")
     return dealt.mapInArrow(lambda batches: run(meet(batches)), columns)
 
 
@@ -134,9 +164,9 @@ def _share(valid: np.ndarray, differences: np.ndarray) -> np.ndarray:
     return differences / np.maximum(valid, 1).astype(float)
 
 
-def _upper(rows: slice, n: int) -> np.ndarray:
+def _upper(rows: slice, columns: slice) -> np.ndarray:
     """Of a tile with itself: each pair once."""
-    return np.arange(n) > np.arange(rows.start, rows.stop)[:, None]
+    return np.arange(columns.start, columns.stop) > np.arange(rows.start, rows.stop)[:, None]
 
 
 def pairs(words: DataFrame, t: Tiling) -> DataFrame:
@@ -144,13 +174,14 @@ def pairs(words: DataFrame, t: Tiling) -> DataFrame:
 
     def run(meetings: Iterator[tuple[Side, Side, bool]]) -> Iterator[pa.RecordBatch]:
         for (ids, own), (others, other), same in meetings:
-            for rows in _slices(len(ids), len(others)):
-                valid, differences, shared = _counted(t, own[:, rows], other)
-                if same:
-                    shared = _upper(rows, len(ids)) if shared is None else shared & _upper(rows, len(ids))
-                one, two = np.broadcast_to(ids[rows, None], valid.shape), np.broadcast_to(others, valid.shape)
-                found = [np.minimum(one, two), np.maximum(one, two), valid.astype(np.int64), differences.astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x.ravel() if shared is None else x[shared]) for x in found], names=["left_id", "right_id", "valid_sites", "differences"])
+            for part in _slices(len(others), 1, RUN):
+                for rows in _slices(part.stop if same else len(ids), part.stop - part.start):
+                    valid, differences, shared = _counted(t, own[:, rows], other[:, part])
+                    if same:
+                        shared = _upper(rows, part) if shared is None else shared & _upper(rows, part)
+                    one, two = np.broadcast_to(ids[rows, None], valid.shape), np.broadcast_to(others[part], valid.shape)
+                    found = [np.minimum(one, two), np.maximum(one, two), valid.astype(np.int64), differences.astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x.ravel() if shared is None else x[shared]) for x in found], names=["left_id", "right_id", "valid_sites", "differences"])
 
     return _meetings(words, t, False, run, "left_id long, right_id long, valid_sites long, differences long")
 
@@ -165,7 +196,8 @@ def extremes(words: DataFrame, t: Tiling) -> DataFrame:
                 valid, differences, shared = _counted(t, own[:, rows], other)
                 p = _share(valid, differences)
                 if same:
-                    shared = _upper(rows, len(ids)) if shared is None else shared & _upper(rows, len(ids))
+                    upper = _upper(rows, slice(0, len(ids)))
+                    shared = upper if shared is None else shared & upper
                 if shared is not None:
                     p = p[shared]
                 best, n = max(best, float(p.max(initial=-1.0))), n + p.size
@@ -200,12 +232,11 @@ def nearest(words: DataFrame, t: Tiling, size: int = 8) -> DataFrame:
     """The nearest of each sequence: target, neighbour, p_distance, rank; ties to the smaller id."""
 
     def run(meetings: Iterator[tuple[Side, Side, bool]]) -> Iterator[pa.RecordBatch]:
-        best = None
+        kept: dict[int, _Nearest] = {}
         for (ids, own), (others, other), same in meetings:
             if same:
-                if best is not None:
-                    yield best.batch()
-                best = _Nearest(ids, size)
+                kept[int(ids[0])] = _Nearest(ids, size)
+            best = kept[int(ids[0])]
             for rows in _slices(len(ids), len(others), 4 * PAIRS):
                 valid, differences, shared = _counted(t, own[:, rows], other)
                 p = _share(valid, differences)
@@ -223,7 +254,7 @@ def nearest(words: DataFrame, t: Tiling, size: int = 8) -> DataFrame:
                 nearer = (found < best.p[at, -1]) | (near < best.near[at, -1])
                 if nearer.any():
                     best.take(at[nearer], found[nearer], near[nearer])
-        if best is not None:
+        for best in kept.values():
             yield best.batch()
 
     return _meetings(words, t, True, run, "target long, neighbour long, p double, rank int").select("target", "neighbour", F.round("p", 9).alias("p_distance"), "rank")
